@@ -13,7 +13,7 @@ TOKENIZERS = ("space", "qgram", "char")
 
 def space_tokens(text: Column) -> Column:
     """Tokens between single spaces, repeats kept, empty ones dropped."""
-    return F.filter(F.split(text, " "), lambda token: token != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def padded(text: Column, q: int) -> Column:
@@ -39,7 +39,7 @@ def qgram_count(text: Column, q: int) -> Column:
 
 def char_tokens(text: Column) -> Column:
     """The distinct characters of a text."""
-    return F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.array_distinct(F.array_remove(F.split(text, ""), ""))
 
 
 def token_set(tokens: Column) -> Column:
@@ -68,7 +68,7 @@ def counted_tokens(tokens: Column) -> Column:
     Set functions then count multiplicity. Only for tokens of one fixed length (q-grams),
     where the appended number cannot be confused with the token.
     """
-    ordered = F.array_sort(tokens)
+    ordered = F.sort_array(tokens)
     return F.transform(
         ordered,
         lambda token, i: F.concat(token, (i + 2 - F.array_position(ordered, token)).cast("string")),

@@ -109,7 +109,7 @@ def neighbour_candidates(left: DataFrame, right: DataFrame | None, tau: int) ->
     """
 
     def keys(rows: DataFrame) -> DataFrame:
-        variants = F.explode(deletion_variants(F.col("text"), tau)).alias("variant")
+        variants = F.explode_outer(deletion_variants(F.col("text"), tau)).alias("variant")
         return rows.select("id", F.length("text").alias("n"), variants).select(
             F.xxhash64("variant").alias("key"), "id", "n"
         )

@@ -12,7 +12,7 @@ ORDERINGS = ("idf", "alphabetical")
 
 def token_frequency(*bags: DataFrame) -> DataFrame:
     """`token, freq`: occurrences (repeats count) over one or more tables with `tokens` arrays."""
-    streams = [bag.select(F.explode("tokens").alias("token")) for bag in bags]
+    streams = [token_rows(bag).select("token") for bag in bags]
     return (
         reduce(DataFrame.unionByName, streams)
         .groupBy("token")
@@ -22,7 +22,9 @@ def token_frequency(*bags: DataFrame) -> DataFrame:
 
 def token_rows(bags: DataFrame) -> DataFrame:
     """`id, token, pos`: one row per token of `id, tokens`, position from 0."""
-    return bags.select("id", F.posexplode("tokens").alias("pos", "token"))
+    # the outer form keeps Spark from testing the array's size first, which would build it twice
+    rows = bags.select("id", F.posexplode_outer("tokens").alias("pos", "token"))
+    return rows.filter(F.col("token").isNotNull())
 
 
 def order_tokens(bags: DataFrame, ordering: str = "idf", freq: DataFrame | None = None) -> DataFrame:

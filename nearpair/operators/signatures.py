@@ -40,7 +40,7 @@ def signature_keys(
     keys = F.flatten(
         F.transform(F.sequence(F.lit(1), F.col("_p1")), _keys_from(hot_token))
     ).cast(_KEY_TYPE)
-    return rows.select("id", "n", F.inline(keys))
+    return rows.select("id", "n", F.inline_outer(keys)).filter(F.col("key").isNotNull())
 
 
 def _keys_from(hot_token: int):
