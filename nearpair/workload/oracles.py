@@ -252,9 +252,9 @@ ORACLES = {
         WITH s AS (SELECT id, len(list_distinct({SPLIT.format('text')})) AS tokens,
                           length(text) + 2 AS grams FROM ({DOCUMENTS}))
         SELECT id, tokens, grams,
-               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.8 * tokens - 1e-9) + 1 END AS jaccard,
-               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.64 * tokens - 1e-9) + 1 END AS cosine,
-               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.8 / 1.2 * tokens - 1e-9) + 1 END AS dice,
+               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.8 * tokens - 1e-9)::BIGINT + 1 END AS jaccard,
+               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.64 * tokens - 1e-9)::BIGINT + 1 END AS cosine,
+               CASE WHEN tokens = 0 THEN 0 ELSE tokens - ceil(0.8 / 1.2 * tokens - 1e-9)::BIGINT + 1 END AS dice,
                least(grams, 4) AS ed
         FROM s""",
     "prefix_tokens": f"WITH {RANKED_SETS} SELECT id, token, rank FROM prefix",
