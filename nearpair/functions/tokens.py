@@ -75,25 +75,35 @@ def counted_tokens(tokens: Column) -> Column:
     )
 
 
-def deletion_variants(text: Column, tau: int) -> Column:
-    """All strings left after deleting at most `tau` characters from `text`.
+def deletion_keys(text: Column, tau: int) -> Column:
+    """Hashes of all strings left after deleting at most `tau` characters from `text`.
 
     Two texts within edit distance tau always have one of these in common, and a variant
     belongs to a bounded number of texts (those at most tau insertions away from it).
     """
 
-    def one_less(s: Column) -> Column:
+    def shorter(state: Column) -> Column:
+        rest, start = state["rest"], state["start"]
+        # deleting from left to right reaches each choice of positions once
         return F.when(
-            F.length(s) > 0,
+            start <= F.length(rest),
             F.transform(
-                F.sequence(F.lit(1), F.length(s)),
-                lambda i: F.concat(
-                    F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))
+                F.sequence(start, F.length(rest)),
+                lambda i: F.struct(
+                    F.concat(
+                        F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, F.length(rest))
+                    ).alias("rest"),
+                    i.alias("start"),
                 ),
             ),
-        ).otherwise(F.array().cast("array<string>"))
+        )
 
-    variants = F.array(text)
+    level = F.array(F.struct(text.alias("rest"), F.lit(1).alias("start")))
+    levels = [level]
     for _ in range(tau):
-        variants = F.array_union(variants, F.flatten(F.transform(variants, one_less)))
-    return variants
+        lists = F.filter(F.transform(level, shorter), lambda found: found.isNotNull())
+        level = F.flatten(lists)
+        levels.append(level)
+    return F.array_distinct(
+        F.transform(F.concat(*levels), lambda state: F.xxhash64(state["rest"]))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.functions.bounds import least_overlap, least_overlap_with_larger, pair_overlap
-from nearpair.functions.tokens import deletion_variants
+from nearpair.functions.tokens import deletion_keys
 from nearpair.operators.signatures import rename_side
 
 
@@ -21,22 +21,15 @@ def set_candidates(
     """Distinct `id_l, id_r` of signature keys that may reach a set threshold.
 
     The smaller record of a pair only needs the shorter prefix implied by a partner at least
-    as large as itself. In a self join that side is filtered before the shuffle.
+    as large as itself.
     """
-    on = size_fits(measure, threshold, F.col("n_l"), F.col("n_r")) & _rest_suffices(measure, threshold)
+    # the bounds name both sides, so neither is filtered before the shuffle: a self join
+    # then reads one exchange of keys twice instead of computing the keys twice
+    a, b = rename_side(left, "l"), rename_side(left if right is None else right, "r")
+    on = (a["key"] == b["key"]) & set_bounds(measure, threshold)
     if right is None:
-        reaches = _reaches_larger(measure, threshold)
-        large = rename_side(left, "l")
-        small = rename_side(left.filter(reaches("n", "used", "last")), "r")
-        on = on & (
-            (F.col("n_l") > F.col("n_r"))
-            | ((F.col("n_l") == F.col("n_r")) & (F.col("id_l") < F.col("id_r")))
-        )
-    else:
-        large, small = rename_side(left, "l"), rename_side(right, "r")
-        on = on & _smaller_reaches(measure, threshold)
-    pairs = large.join(small, (large["key"] == small["key"]) & on)
-    return distinct_ids(pairs, ordered=right is None)
+        on = on & (F.col("id_l") < F.col("id_r"))
+    return distinct_ids(a.join(b, on), ordered=right is None)
 
 
 def set_bounds(measure: str, threshold: float) -> Column:
@@ -53,19 +46,14 @@ def size_fits(measure: str, threshold: float, n_left: Column, n_right: Column) -
     return smaller >= least_overlap(measure, threshold, larger)
 
 
-def _reaches_larger(measure: str, threshold: float):
+def _smaller_reaches(measure: str, threshold: float) -> Column:
     def within(n: str, used: str, last: str) -> Column:
         size, count = F.col(n), F.col(used)
         shared = F.greatest(least_overlap_with_larger(measure, threshold, size), count)
         return F.col(last) <= size - shared + count
 
-    return within
-
-
-def _smaller_reaches(measure: str, threshold: float) -> Column:
-    reaches = _reaches_larger(measure, threshold)
-    return F.when(F.col("n_l") >= F.col("n_r"), reaches("n_r", "used_r", "last_r")).otherwise(
-        reaches("n_l", "used_l", "last_l")
+    return F.when(F.col("n_l") >= F.col("n_r"), within("n_r", "used_r", "last_r")).otherwise(
+        within("n_l", "used_l", "last_l")
     )
 
 
@@ -109,10 +97,8 @@ def neighbour_candidates(left: DataFrame, right: DataFrame | None, tau: int) ->
     """
 
     def keys(rows: DataFrame) -> DataFrame:
-        variants = F.explode_outer(deletion_variants(F.col("text"), tau)).alias("variant")
-        return rows.select("id", F.length("text").alias("n"), variants).select(
-            F.xxhash64("variant").alias("key"), "id", "n"
-        )
+        variants = F.explode_outer(deletion_keys(F.col("text"), tau)).alias("key")
+        return rows.select("id", F.length("text").alias("n"), variants)
 
     a, b = rename_side(keys(left), "l"), rename_side(keys(left if right is None else right), "r")
     on = (a["key"] == b["key"]) & size_fits("ed", tau, F.col("n_l"), F.col("n_r"))

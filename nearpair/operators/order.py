@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 ORDERINGS = ("idf", "alphabetical")
 
+_CODE_HASH_BITS = (1 << 32) - 1
+_CODE_MAX_FREQ = (1 << 31) - 1
+
 
 def token_frequency(*bags: DataFrame) -> DataFrame:
     """`token, freq`: occurrences (repeats count) over one or more tables with `tokens` arrays."""
@@ -63,6 +66,24 @@ def ordered_arrays(bags: DataFrame, ordering: str = "idf", freq: DataFrame | Non
     return arrays.select("id", by_order.alias("ordered"))
 
 
+def ordered_codes(bags: DataFrame, freq: DataFrame) -> DataFrame:
+    """`id, codes`: rarest-first order of token sets as one sorted array of numbers.
+
+    A code holds the frequency above 32 bits of the token's hash. Sorting numbers is far
+    cheaper than sorting (freq, token) pairs. Two tokens with equal codes count as one token,
+    which can only add candidates.
+    """
+    rows = bags.select("id", F.explode_outer("tokens").alias("token")).join(freq, "token")
+    capped = F.least(F.col("freq"), F.lit(_CODE_MAX_FREQ))
+    code = F.shiftleft(capped, 32) + F.xxhash64("token").bitwiseAND(F.lit(_CODE_HASH_BITS))
+    codes = rows.groupBy("id").agg(F.collect_list(code).alias("codes"))
+    return codes.select("id", F.sort_array("codes").alias("codes"))
+
+
+def code_freq(code: Column) -> Column:
+    return F.shiftright(code, 32)
+
+
 def min_edit_errors(positions: Column, q: int) -> Column:
     """Fewest edits that can destroy all q-grams at these positions (an int array).
 

@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_TOKEN = 1_000  # a token with more occurrences is paired with a second one
+# A token with more occurrences is paired with a second one. The pairs of a long prefix are
+# many more than those of the few grams in a gram prefix, so tokens are split later.
+HOT_TOKEN = 20_000
+HOT_GRAM = 1_000
 
 _KEY_TYPE = "array<struct<key:bigint,used:int,last:int,pos1:int,pos2:int>>"
 
@@ -24,6 +27,8 @@ def signature_keys(
 ) -> DataFrame:
     """Keys of `id, n, ordered` records (ordered: (freq, token, pos) in the global order).
 
+    `ordered` needs to reach one place beyond the prefix, no further.
+
     `prefix`: length of the prefix that holds the first shared token.
     `least_shared`: tokens a record shares with any partner, as implied by its size.
     Result: `id, n, key, used, last, pos1, pos2` - `used` tokens make the key, the last of

@@ -20,9 +20,9 @@ from nearpair.operators.candidates import (
     size_fits,
 )
 from nearpair.operators.cells import cell_candidates, choose_anchors, route
-from nearpair.operators.minhash import band_candidates
+from nearpair.operators.minhash import HOT_BUCKET, band_candidates
 from nearpair.operators.pairs import weigh_pairs
-from nearpair.operators.signatures import HOT_TOKEN
+from nearpair.operators.signatures import HOT_GRAM, HOT_TOKEN
 from nearpair.plans.parts import (
     gram_keys,
     same_text,
@@ -51,7 +51,7 @@ def prefix_ed(
     tau: int = 1,
     q: int = 3,
     ordering: str = "idf",
-    hot_token: int = HOT_TOKEN,
+    hot_token: int = HOT_GRAM,
 ) -> DataFrame:
     """Prefix filtering on q-grams: a shared rare q-gram, then the edit distance."""
     candidates = prefix_ed_candidates(texts, right, tau, q, ordering, hot_token)
@@ -64,7 +64,7 @@ def prefix_ed_candidates(
     tau: int = 1,
     q: int = 3,
     ordering: str = "idf",
-    hot_token: int = HOT_TOKEN,
+    hot_token: int = HOT_GRAM,
 ) -> DataFrame:
     keys = gram_keys(_both(texts, right), tau, q, ordering, hot_token)
     found = ed_candidates(keys[0], keys[1] if right is not None else None, tau)
@@ -98,7 +98,7 @@ def prefix_set_candidates(
 
 
 def ed_join(
-    texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_TOKEN
+    texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_GRAM
 ) -> DataFrame:
     """Location-based minimum prefixes, then length, position, mismatch and content filters."""
     (keys,) = gram_keys([texts], tau, q, ordering, hot_token, minimum=True)
@@ -115,7 +115,7 @@ def ed_join(
 
 
 def gram_count(
-    texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_TOKEN
+    texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_GRAM
 ) -> DataFrame:
     """Enough common q-grams, near in length and position, then the edit distance.
 
@@ -141,7 +141,7 @@ def cluster_ed(
     q: int = 3,
     anchors: int = 50,
     seed: int | None = 0,
-    hot_token: int = HOT_TOKEN,
+    hot_token: int = HOT_GRAM,
 ) -> DataFrame:
     """Pairs meet in the cell of an anchor near both texts, on a shared rare q-gram."""
     routes = route(texts, "text", choose_anchors(texts, "text", anchors, seed), "ed", tau)
@@ -174,7 +174,7 @@ def minhash_jaccard(
     num_tables: int = 10,
     rows_per_table: int = 1,
     seed: int = 0,
-    hot_bucket: int = HOT_TOKEN,
+    hot_bucket: int = HOT_BUCKET,
 ) -> DataFrame:
     """Approximate: pairs that agree in a table of min-hashes and pass the exact measure.
 

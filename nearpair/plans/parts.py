@@ -9,8 +9,14 @@ from nearpair.functions.bounds import least_overlap, prefix_length
 from nearpair.functions.measures import edit_distance, overlap, similarity_from_counts
 from nearpair.functions.tokens import qgram_count, qgrams
 from nearpair.operators.candidates import neighbour_candidates
-from nearpair.operators.order import min_prefix_length, ordered_arrays, token_frequency
-from nearpair.operators.signatures import HOT_TOKEN, signature_keys
+from nearpair.operators.order import (
+    code_freq,
+    min_prefix_length,
+    ordered_arrays,
+    ordered_codes,
+    token_frequency,
+)
+from nearpair.operators.signatures import HOT_GRAM, HOT_TOKEN, signature_keys
 
 
 def set_keys(
@@ -23,15 +29,25 @@ def set_keys(
     """Signature keys per side; both sides are ordered by their joint token frequency."""
     bags = [g.select("id", "tokens") for g in groups]
     n = F.col("n")
-    return [
-        signature_keys(
-            arrays.withColumn("n", F.size("ordered")),
-            prefix_length(measure, threshold, n),
-            least_overlap(measure, threshold, n),
-            hot_token,
-        )
-        for arrays in _ordered(bags, ordering)
-    ]
+    prefix = prefix_length(measure, threshold, n)
+    if ordering == "idf":
+        freq = token_frequency(*bags)
+        sized = [_from_codes(ordered_codes(bag, freq), prefix) for bag in bags]
+    else:
+        sized = [a.withColumn("n", F.size("ordered")) for a in _ordered(bags, ordering)]
+    return [signature_keys(s, prefix, least_overlap(measure, threshold, n), hot_token) for s in sized]
+
+
+def _from_codes(codes: DataFrame, prefix: Column) -> DataFrame:
+    first = F.slice("codes", F.lit(1), prefix + 1)
+    entries = F.transform(
+        first,
+        lambda c: F.struct(
+            code_freq(c).alias("freq"), c.alias("token"), F.lit(None).cast("int").alias("pos")
+        ),
+    )
+    sized = codes.withColumn("n", F.size("codes"))
+    return sized.select("id", "n", entries.alias("ordered"))
 
 
 def gram_keys(
@@ -39,7 +55,7 @@ def gram_keys(
     tau: int,
     q: int,
     ordering: str = "idf",
-    hot_token: int = HOT_TOKEN,
+    hot_token: int = HOT_GRAM,
     minimum: bool = False,
 ) -> list[DataFrame]:
     """Signature keys of the q-grams per side; `minimum` takes the location-based prefix."""
