@@ -45,6 +45,8 @@ def session(cpus: str) -> SparkSession:
         .appName("nearpair-bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", "16")
+        # comparing two token sets costs far more than reading the pair: keep partitions small
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

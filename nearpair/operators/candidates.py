@@ -63,19 +63,23 @@ def _rest_suffices(measure: str, threshold: float) -> Column:
 
 
 def ed_candidates(
-    left: DataFrame, right: DataFrame | None, tau: int, positional: bool = False
+    left: DataFrame, right: DataFrame | None, tau: int, q: int, positional: bool = False
 ) -> DataFrame:
     """Distinct `id_l, id_r` of signature keys with lengths (and positions) at most tau apart."""
     a, b = rename_side(left, "l"), rename_side(left if right is None else right, "r")
-    on = (a["key"] == b["key"]) & ed_bounds(tau, positional)
+    on = (a["key"] == b["key"]) & ed_bounds(tau, q, positional)
     if right is None:
         on = on & (F.col("id_l") < F.col("id_r"))
     return distinct_ids(a.join(b, on), ordered=right is None)
 
 
-def ed_bounds(tau: int, positional: bool = False) -> Column:
-    """What two key rows (columns suffixed _l, _r) of a pair within tau edits satisfy."""
+def ed_bounds(tau: int, q: int, positional: bool = False) -> Column:
+    """What two key rows (columns suffixed _l, _r) of a pair within tau edits satisfy.
+
+    Pairs of texts too short for q-gram filters are left out: their keys prove nothing.
+    """
     on = size_fits("ed", tau, F.col("n_l"), F.col("n_r"))
+    on = on & (F.greatest("n_l", "n_r") > q * tau)
     if positional:
         second = position_fits(F.col("pos2_l"), F.col("pos2_r"), tau)
         on = on & position_fits(F.col("pos1_l"), F.col("pos1_r"), tau)
@@ -97,6 +101,8 @@ def neighbour_candidates(left: DataFrame, right: DataFrame | None, tau: int) ->
     """
 
     def keys(rows: DataFrame) -> DataFrame:
+        # partitions are sized for the keys, hundreds per text: AQE would size them by the texts
+        rows = rows.select("id", "text").repartition(shuffle_partitions(rows), "id")
         variants = F.explode_outer(deletion_keys(F.col("text"), tau)).alias("key")
         return rows.select("id", F.length("text").alias("n"), variants)
 
@@ -112,4 +118,12 @@ def distinct_ids(pairs: DataFrame, ordered: bool) -> DataFrame:
         pairs = pairs.select(
             F.least("id_l", "id_r").alias("id_l"), F.greatest("id_l", "id_r").alias("id_r")
         )
-    return pairs.select("id_l", "id_r").distinct()
+    # The copies of a pair come from different keys, so merging them before the shuffle would
+    # find few. A fixed partition count keeps AQE from sizing tasks by these small rows: what
+    # follows compares whole records per row.
+    pairs = pairs.select("id_l", "id_r")
+    return pairs.repartition(shuffle_partitions(pairs), "id_l", "id_r").distinct()
+
+
+def shuffle_partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))

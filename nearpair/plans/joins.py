@@ -67,7 +67,7 @@ def prefix_ed_candidates(
     hot_token: int = HOT_GRAM,
 ) -> DataFrame:
     keys = gram_keys(_both(texts, right), tau, q, ordering, hot_token)
-    found = ed_candidates(keys[0], keys[1] if right is not None else None, tau)
+    found = ed_candidates(keys[0], keys[1] if right is not None else None, tau, q)
     return with_short_pairs(found, texts, right, tau, q)
 
 
@@ -102,7 +102,7 @@ def ed_join(
 ) -> DataFrame:
     """Location-based minimum prefixes, then length, position, mismatch and content filters."""
     (keys,) = gram_keys([texts], tau, q, ordering, hot_token, minimum=True)
-    found = ed_candidates(keys, None, tau, positional=True)
+    found = ed_candidates(keys, None, tau, q, positional=True)
     candidates = with_short_pairs(found, texts, None, tau, q)
     rows = sides(candidates, filters.gram_profiles(texts, q, tau), None)
     rows = rows.withColumn(
@@ -124,7 +124,7 @@ def gram_count(
     grams are counted, per candidate pair.
     """
     (keys,) = gram_keys([texts], tau, q, ordering, hot_token)
-    found = ed_candidates(keys, None, tau, positional=True)
+    found = ed_candidates(keys, None, tau, q, positional=True)
     candidates = with_short_pairs(found, texts, None, tau, q)
     rows = sides(candidates, filters.gram_profiles(texts, q, tau), None)
     rows = rows.filter(
@@ -146,7 +146,7 @@ def cluster_ed(
     """Pairs meet in the cell of an anchor near both texts, on a shared rare q-gram."""
     routes = route(texts, "text", choose_anchors(texts, "text", anchors, seed), "ed", tau)
     (keys,) = gram_keys([texts], tau, q, "idf", hot_token)
-    found = cell_candidates(keys, routes, ed_bounds(tau))
+    found = cell_candidates(keys, routes, ed_bounds(tau, q))
     candidates = with_short_pairs(found, texts, None, tau, q)
     return _weigh_ed(verify_ed(sides(candidates, texts, None), tau), texts, None)
 

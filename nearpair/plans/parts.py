@@ -91,8 +91,7 @@ def with_short_pairs(
         return texts.filter(qgram_count(F.col("text"), q) <= q * tau).select("id", "text")
 
     found = neighbour_candidates(short(left), None if right is None else short(right), tau)
-    # no duplicates arise when one side is long; a pair of short texts may occur in both
-    return candidates.unionByName(found).distinct()
+    return candidates.unionByName(found)  # ed_bounds leaves these pairs out: no overlap
 
 
 def sides(candidates: DataFrame, left: DataFrame, right: DataFrame | None) -> DataFrame:

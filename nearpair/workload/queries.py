@@ -290,7 +290,7 @@ def filter_length(spark, folder):
 @query
 def filter_position(spark, folder):
     (keys,) = gram_keys([text_groups(parts(spark, folder))], FILTER_TAU, Q)
-    return ed_candidates(keys, None, FILTER_TAU, positional=True)
+    return ed_candidates(keys, None, FILTER_TAU, Q, positional=True)
 
 
 def profiled_candidates(spark, folder):
