@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import functools
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpair.llm.jaccard import jaccard_components
+from nearpair.llm.mixing import mixing_plan
 from nearpair.llm.ship import ship_package
+from nearpair.llm.tokens import encoded
 
 QUERIES: dict = {}
 
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
 
 def query(function):
     @functools.wraps(function)
@@ -27,7 +33,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_token_blocks(spark, folder):
+    found = encoded(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query
 def op5_jaccard_join(spark, folder):
     found = jaccard_components(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
+@query
+def op9_mix_sources(spark, folder):
+    plan = mixing_plan(table(spark, folder, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
