@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearpair.llm.brown import class_model_scores
 from nearpair.llm.jaccard import jaccard_components
 from nearpair.llm.mixing import mixing_plan
 from nearpair.llm.ship import ship_package
@@ -33,6 +34,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fold(id_col: str, folds: int):
+    """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
 @query
 def op4_token_blocks(spark, folder):
     found = encoded(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
@@ -45,6 +51,16 @@ def op5_jaccard_join(spark, folder):
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
+@query
+def op8_class_model(spark, folder):
+    trains = fold("doc_id", 7) != 2
+    found = class_model_scores(table(spark, folder, "documents"), trains)
+    return found.select(
+        F.col("id").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity",
+    )
+
+
 @query
 def op9_mix_sources(spark, folder):
     plan = mixing_plan(table(spark, folder, "documents"))
