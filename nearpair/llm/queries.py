@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from nearpair.llm.brown import class_model_scores
 from nearpair.llm.jaccard import jaccard_components
+from nearpair.llm.language import fit_languages, predict_languages, training_rows
 from nearpair.llm.mixing import mixing_plan
+from nearpair.llm.quality import fit_grades, grade_texts
 from nearpair.llm.ship import ship_package
 from nearpair.llm.tokens import encoded
 
@@ -51,6 +53,14 @@ def op5_jaccard_join(spark, folder):
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
+@query
+def op6_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    decider = fit_languages(training_rows(docs, fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return predict_languages(rows, decider).drop("text")
+
+
 @query
 def op8_class_model(spark, folder):
     trains = fold("doc_id", 7) != 2
@@ -65,3 +75,24 @@ def op8_class_model(spark, folder):
 def op9_mix_sources(spark, folder):
     plan = mixing_plan(table(spark, folder, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+GRADES = 3  # toxic, poor, good
+KEPT = 0.3  # least P(good) of a kept document; below 1/2, as losing good documents costs more
+
+
+def ratings(spark, folder):
+    """`text, grade` of the labelled documents: 0 toxic, 1 not toxic but of low quality, 2 good."""
+    labels = table(spark, folder, "labels").dropDuplicates(["doc_id"])
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)
+    return table(spark, folder, "documents").join(labels.select("doc_id", grade.alias("grade")), "doc_id").select("text", "grade")
+
+
+@query
+def op10_ordinal_quality(spark, folder):
+    model = fit_grades(ratings(spark, folder), GRADES)
+    graded = grade_texts(table(spark, folder, "documents"), model)
+    return graded.select(
+        F.col("id").alias("doc_id"), "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"),
+        ((F.col("tails")[0] >= 0.5) & (F.col("tails")[1] >= KEPT)).alias("kept"),
+    )

@@ -19,6 +19,7 @@ CHUNK = 4 << 20  # bytes of text in one chunk; only a longer text makes a longer
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+LETTERS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])  # ends a word: punctuation too
 _CODE = np.arange(1, 257, dtype=np.uint64)
 _CODE[65:91] += np.uint64(32)
 _TABLES: list[np.ndarray] = []
@@ -70,11 +71,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + (ends - starts).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = _SPACE) -> Words:
     """Words of the texts data[offsets[i]:offsets[i + 1]]."""
     data = data[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
-    word = ~_SPACE[data]
+    word = ~ends_word[data]
     edge = np.zeros(len(data) + 1, bool)  # a text begins here
     edge[offsets] = True
     before = np.concatenate([[False], word[:-1]]) if len(word) else word
@@ -101,14 +102,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), offsets
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+def chunks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", ends_word: np.ndarray = _SPACE
+) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of the batches of about CHUNK bytes of text, with their words."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(text))
         i, n = 0, batch.num_rows
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-            yield batch.slice(i, j - i), words_of(data, offsets[i : j + 1])
+            yield batch.slice(i, j - i), words_of(data, offsets[i : j + 1], ends_word)
             i = j
 
 
