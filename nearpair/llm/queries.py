@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpair.llm.brown import class_model_scores
+from nearpair.llm.decontaminate import contaminated
 from nearpair.llm.jaccard import jaccard_components
 from nearpair.llm.language import fit_languages, predict_languages, training_rows
 from nearpair.llm.mixing import mixing_plan
@@ -36,6 +37,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark, folder):
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
