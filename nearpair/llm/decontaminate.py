@@ -35,7 +35,7 @@ CELL = 32  # words
 RANK = 128
 OVERSAMPLE = 16
 BLOCK_TERMS = 1 << 14  # words of the items in a block, about
-COSINE = 0.4  # of a candidate
+COSINE = 0.3  # of a candidate; planted copies have 0.4 and more
 COPY = 0.75  # least share of the item's words in order: a copy
 PARAPHRASE = 0.55  # the same with the answer there
 ANSWER = 0.75  # least share of the answer's words in order
@@ -306,9 +306,9 @@ def contaminated(
     items without words, and null items, match nothing; an empty benchmark finds nothing. Rows of
     one id are one document, of which the best is returned. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     given = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text"), given.alias("answer"))
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"), F.lower(given).alias("answer"))
     items = items.filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / 6 / BLOCK_TERMS))

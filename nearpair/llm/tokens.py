@@ -18,7 +18,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,41 @@ from nearpair.llm.tables import written
 BLOCK = 256  # ids in a block
 SEGMENT = 1 << 18  # ids in a segment, about; a longer document is a segment of its own
 PERCENTILE = 90
-CACHED = 150_000  # words in each of the two halves of the cache
+CACHED = 200_000  # words in each of the two halves of the cache
+_ID = struct.Struct("<I")
 _HEAD = b"PFR1"
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bits of rows of values, as rows of bytes; eight values make `width` bytes."""
+    eights = (values & np.uint32((1 << width) - 1)).reshape(-1, 8).astype(np.uint64)
+    words = np.zeros((len(eights), 5), "<u8")
+    for i in range(8):
+        k, shift = divmod(i * width, 64)
+        words[:, k] |= eights[:, i] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, k + 1] |= eights[:, i] >> np.uint64(64 - shift)
+    return words.view(np.uint8)[:, :width].reshape(len(values), -1)
+
+
+def _unpacked(packed: np.ndarray, width: int) -> np.ndarray:
+    raw = np.zeros((packed.size // width, 40), np.uint8)
+    raw[:, :width] = packed.reshape(-1, width)
+    words = raw.view("<u8")
+    out = np.empty((len(raw), 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for i in range(8):
+        k, shift = divmod(i * width, 64)
+        value = words[:, k] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[:, k + 1] << np.uint64(64 - shift)
+        out[:, i] = value & mask
+    return out.reshape(len(packed), -1)
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
-    """The payload of the ids."""
+    """The payload of the ids; `block` is a multiple of 8."""
     n = len(ids)
     blocks = -(-n // block)
     values = np.zeros(blocks * block, np.uint32)
@@ -54,26 +83,19 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENT
     high = np.where(width[:, None] >= 32, 0, high).astype(np.uint32)
     row, place = np.nonzero(high)
     exceptions = np.bincount(row, minlength=blocks).astype("<u2")
-    size = (block * width.astype(np.int64) + 7) // 8
+    size = block * width.astype(np.int64) // 8
     starts = np.concatenate([[0], np.cumsum(size + 6 * exceptions.astype(np.int64))])
-    out = np.zeros(starts[-1], np.uint8)
-    for w in np.unique(width):
+    parts = [b""] * blocks
+    for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        if w:
-            part = values[rows]
-            if w == 16:
-                packed = part.astype("<u2").view(np.uint8)
-            else:
-                bits = np.unpackbits(part.astype("<u4").view(np.uint8), bitorder="little").reshape(len(rows), block, 32)
-                packed = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-            out[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
+        for b, row_bytes in zip(rows.tolist(), _packed(values[rows], int(w))):
+            parts[b] = row_bytes.tobytes()
     first = np.concatenate([[0], np.cumsum(exceptions.astype(np.int64))])
     for b in np.flatnonzero(exceptions):
         span = slice(first[b], first[b + 1])
-        tail = place[span].astype("<u2").tobytes() + high[b, place[span]].astype("<u4").tobytes()
-        out[starts[b] + size[b] : starts[b + 1]] = np.frombuffer(tail, np.uint8)
+        parts[b] += place[span].astype("<u2").tobytes() + high[b, place[span]].astype("<u4").tobytes()
     head = _HEAD + struct.pack("<III", block, n, blocks)
-    return b"".join([head, low.astype("<u4").tobytes(), width.tobytes(), exceptions.tobytes(), starts.astype("<u4").tobytes(), out.tobytes()])
+    return b"".join([head, low.astype("<u4").tobytes(), width.tobytes(), exceptions.tobytes(), starts.astype("<u4").tobytes(), *parts])
 
 
 class Blocks:
@@ -98,13 +120,9 @@ class Blocks:
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
             if w:
-                packed = self.data[starts[rows][:, None] + np.arange((self.block * int(w) + 7) // 8)]
-                if w == 16:
-                    out[rows] = np.ascontiguousarray(packed).view("<u2")
-                else:
-                    bits = np.zeros((len(rows), self.block, 32), np.uint8)
-                    bits[:, :, :w] = np.unpackbits(packed, axis=1, count=self.block * int(w), bitorder="little").reshape(len(rows), self.block, int(w))
-                    out[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u4")
+                size = self.block * int(w) // 8
+                packed = np.stack([self.data[a : a + size] for a in starts[rows].tolist()])
+                out[rows] = _unpacked(packed, int(w))
         for i in np.flatnonzero(self.exceptions[first:last]):
             k = int(self.exceptions[first + i])
             end = int(self.starts[first + i + 1])
@@ -115,14 +133,34 @@ class Blocks:
         return out.ravel()[: self.n - first * self.block]
 
 
+class _Cache(dict):
+    """Ids of words as bytes. A full young half becomes the old one, and what the old one is
+    asked for comes back, so frequent words stay."""
+
+    def __init__(self, ask: Callable[[_Cache, str], bytes]) -> None:
+        self.ask, self.old = ask, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.ask(self, word)
+        self[word] = found
+        return found
+
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Encodes texts word by word through a cache, by a tokenizer that leaves nothing of white
     space and never joins across it; with by_word=False whole texts, by any tokenizer.
 
-    A miss asks the tokenizer for the word without trailing punctuation and for that apart,
-    where both are pieces of their own. Texts in Latin-1 are lower-cased first if the tokenizer
-    does so itself (there, both agree). The cache has two halves: a full young half becomes the
-    old one, and what the old one is asked for comes back, so frequent words stay.
+    Texts in Latin-1 are lower-cased first if the tokenizer does so itself (there, both agree).
+    A new word of theirs is taken without its trailing punctuation, and if it has letters only,
+    straight to the tokenizer's BPE model where that gives what the whole tokenizer does: a word
+    of letters is one piece, without anything to normalise.
     """
 
     def __init__(self, path: str, by_word: bool = True, cached: int = CACHED) -> None:
@@ -130,52 +168,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.by_word, self.cached = by_word, cached
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self.lowers = by_word and self._ids(["aB c,", "ab c,"])[0] == self._ids(["ab c,"])[0]
+        self.special = {x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()}
+        one, other, *probes = self._ids(["aB c,", "ab c,", *_PROBES])
+        self.lowers = by_word and one == other
+        self.direct = probes == [self._letters(w) for w in _PROBES]
+        self.plain, self.other = _Cache(self._ask_plain), _Cache(lambda _, w: self._ids([w])[0])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _parts(self, word: str, plain: bool) -> tuple[str, str]:
-        body = word.rstrip(_PUNCTUATION) if plain else word
-        if body and len(body) < len(word) and body[-1].isalpha():
-            return body, word[len(body) :]
-        return word, ""
-
-    def _learn(self, words: dict[str, bool]) -> None:
-        parts = {w: self._parts(w, plain) for w, plain in words.items()}
-        young, old = self.young, self.old
-        ask = {p for both in parts.values() for p in both if p and p not in young and p not in old}
-        asked = list(ask)
-        young.update(zip(asked, self._ids(asked)))
-        for word, (body, tail) in parts.items():
-            if tail:
-                young[word] = young.get(body, old.get(body)) + young.get(tail, old.get(tail))
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_byte_letters())
+        return _ID.pack(tokens[0].id) if len(tokens := self.model.tokenize(word)) == 1 else struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
+
+    def _ask_plain(self, cache: _Cache, word: str) -> bytes:
+        if self.direct and word.isalpha():
+            return self._letters(word)
+        body = word.rstrip(_PUNCTUATION)
+        if len(body) < len(word) and body.isalpha():
+            return cache[body] + cache[word[len(body) :]]
+        return self._ids([word])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return self._ids(texts)
-        split, missing = [], {}
-        if len(self.young) > self.cached:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        out = []
         for text in texts:
-            plain = self.lowers and _latin(text) and not any(x[:2] in text for x in self.special)
+            plain = self.lowers and _latin(text) and not any(x in text for x in self.special)
+            cache = self.plain if plain else self.other
             words = (text.lower() if plain else text).replace("\n", " ").split(" ")
-            split.append(words)
-            for w in set(words).difference(young):
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing[w] = plain
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(young.__getitem__, words)) for words in split]
+            out.append(b"".join(map(cache.__getitem__, words)))
+            cache.trim(self.cached)
+        return out
+
+
+#: Words on which the short way to the model is compared with the whole tokenizer.
+_PROBES = ["a", "word", "letters", "straße", "élève", "mañana", "über", "ñ"]
+
+
+@cache
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it can be
+    seen, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def _latin(text: str) -> bool:
