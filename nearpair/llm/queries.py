@@ -13,6 +13,7 @@ from nearpair.llm.decontaminate import contaminated
 from nearpair.llm.jaccard import jaccard_components
 from nearpair.llm.language import fit_languages, predict_languages, training_rows
 from nearpair.llm.mixing import mixing_plan
+from nearpair.llm.pseudonyms import pseudonymise
 from nearpair.llm.quality import fit_grades, grade_texts
 from nearpair.llm.ship import ship_package
 from nearpair.llm.tokens import encoded
@@ -43,6 +44,14 @@ def op1_decontaminate(spark, folder):
     return found.withColumnRenamed("id", "doc_id")
 
 
+PSEUDONYM_KEY = "key of the tests; production gives its own"
+
+
+@query
+def op2_pseudonyms(spark, folder):
+    return pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
 def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
