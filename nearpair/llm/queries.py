@@ -15,6 +15,8 @@ from nearpair.llm.language import fit_languages, predict_languages, training_row
 from nearpair.llm.mixing import mixing_plan
 from nearpair.llm.pseudonyms import pseudonymise
 from nearpair.llm.quality import fit_grades, grade_texts
+from nearpair.llm.rules import quality_verdicts
+from nearpair.llm.secrets import secret_spans
 from nearpair.llm.ship import ship_package
 from nearpair.llm.tokens import encoded
 
@@ -52,6 +54,11 @@ def op2_pseudonyms(spark, folder):
     return pseudonymise(table(spark, folder, "documents"), PSEUDONYM_KEY)
 
 
+@query
+def op3_secrets(spark, folder):
+    return secret_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def fold(id_col: str, folds: int):
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
@@ -77,6 +84,11 @@ def op6_language(spark, folder):
     return predict_languages(rows, decider).drop("text")
 
 
+@query
+def op7_quality_rules(spark, folder):
+    return quality_verdicts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op8_class_model(spark, folder):
     trains = fold("doc_id", 7) != 2
