@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.llm.brown import Lookup
-from nearpair.llm.tables import written
+from nearpair.llm.tables import column, without, written
 from nearpair.llm.words import LETTERS, chunks, text_buffer, words_of
 
 CELL = 32  # words
@@ -306,7 +306,7 @@ def contaminated(
     items without words, and null items, match nothing; an empty benchmark finds nothing. Rows of
     one id are one document, of which the best is returned. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    rows = docs.select(column(id_col).cast("bigint").alias("id"), F.lower(column(text_col).cast("string")).alias("text"))
     given = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"), F.lower(given).alias("answer"))
     items = items.filter("text IS NOT NULL")
@@ -341,5 +341,8 @@ def _found_in_block(rows: DataFrame, items: DataFrame, block: int, blocks: int,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` in which no item of the benchmark was found, with their columns. Rows
     with a null id go only if an item is in one of them."""
-    found = contaminated(docs, benchmark, id_col, **options).select(F.col("id").alias("_found")).distinct()
-    return docs.join(found, F.col(id_col).cast("bigint").eqNullSafe(F.col("_found")), "left_anti")
+    found = contaminated(docs, benchmark, id_col, **options).select("id")
+    kept = without(docs, id_col, found.filter("id IS NOT NULL"))
+    if found.filter("id IS NULL").isEmpty():
+        return kept
+    return kept.filter(column(id_col).isNotNull())

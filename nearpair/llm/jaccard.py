@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.llm.components import connected_components
-from nearpair.llm.tables import written
+from nearpair.llm.tables import column, packed_rows, without, written
 from nearpair.llm.words import Words, chunks, mix
 
 BUCKET = 1 << 21  # n-gram entries in a hash bucket, about
@@ -373,7 +373,7 @@ def jaccard_components(
 
     N-grams are compared as 64-bit hashes, of which 48 bits and the bucket number are kept.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).cast("string").alias("text"))
     sizes = written(gram_sizes(docs, size), "sizes")
     classes = sizes.filter("n > 0 AND id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("id").alias("class_id"))
     entries = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -387,3 +387,20 @@ def jaccard_components(
     named = sizes.join(classes, ["n", "k1", "k2"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id"))
     named = named.join(roots, "class_id", "left")
     return named.select("id", "n", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of `docs` for each component, the one with the least id, with the columns of `docs`.
+
+    Rows without words and rows with a null id are kept. Of several rows with the kept id (their
+    texts linked or not), the one with the least text hash stays.
+    """
+    found = jaccard_components(docs, id_col, text_col, **options)
+    found = written(found.filter("n > 0").groupBy("id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("rows")), "kept")
+    rest = without(docs, id_col, found.filter("id <> c").select("id"))
+    again = found.filter("rows > 1").select(F.col("id").alias("_value"))
+    if again.isEmpty():
+        return rest
+    once = packed_rows(rest, _id=column(id_col).cast("bigint"), _t=F.xxhash64(column(text_col)))
+    twice = once.join(again, F.col("_id") == again["_value"], "left_semi").groupBy("_id").agg(F.min_by("_row", "_t").alias("_row"))
+    return without(rest, id_col, again).unionByName(twice.select("_row.*"))

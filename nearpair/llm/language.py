@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpair.llm.tables import written
+from nearpair.llm.tables import column, packed_rows, written
 from nearpair.llm.words import mix
 
 FEATURES = 4096
@@ -209,15 +209,15 @@ def predict_languages(docs: DataFrame, decider: Decider | None, text_col: str =
                 rest = batch.slice(a, b - a).drop_columns(["_text"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest.schema.names, "lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*[F.col(c) for c in kept], F.col(text_col).cast("string").alias("_text"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    kept = docs.select(*[column(c) for c in docs.columns if c not in ("lang_pred", "score")])
+    rows = packed_rows(kept, _text=column(text_col).cast("string"))
+    schema = rows.select("_row").schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, decider: Decider | None, text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose language is not `und`, with the columns of `docs`."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_t"))
+    rows = packed_rows(docs, _t=column(text_col))
     return predict_languages(rows, decider, "_t").filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearpair.llm.tables import written
+from nearpair.llm.tables import column, packed_rows, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 SLICES = 4096
@@ -146,9 +146,9 @@ def mixing_plan(
     the last. The draw depends on seed, id and size only, so reruns agree and repeated rows
     share their fate. An empty table gives an empty result. Other columns are not read.
     """
-    sized = _sized(docs, id_col, text_col, source_col, seed)
-    sized = sized.select("_id", F.col(source_col).alias("_source"), "_key", "_size", "_weight", "_u")
-    small = written(sized, "mix")
+    rows = docs.select(column(id_col).alias("_i"), column(text_col).alias("_t"), column(source_col).alias("_source"))
+    sized = _sized(rows, "_i", "_t", "_source", seed)
+    small = written(sized.select("_id", "_source", "_key", "_size", "_weight", "_u"), "mix")
     rows = _decided(small, small, max_copies)
     return rows.select(
         F.col("_id").alias("id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target",
@@ -165,8 +165,8 @@ def mix_documents(
     Sizes are counted once for the statistics and once more on the way out, which costs less
     than shuffling texts to their decisions.
     """
-    sized = _sized(docs, id_col, text_col, source_col, seed)
+    rows = packed_rows(docs, _i=column(id_col), _t=column(text_col), _s=column(source_col))
+    sized = _sized(rows, "_i", "_t", "_s", seed)
     small = written(sized.select("_id", "_key", "_size", "_weight", "_u"), "mix")
-    rows = _decided(sized.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns])), small, max_copies)
-    rows = rows.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return rows.select("_row.*")
+    rows = _decided(sized, small, max_copies).filter("_copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select("_row.*")

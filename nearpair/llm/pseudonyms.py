@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearpair.llm.tables import column, packed_rows
+
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
@@ -262,9 +264,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     document or many, get one pseudonym; repeated rows give equal rows. Columns named as the
     counts are replaced; others are passed on.
     """
-    text = F.col(text_col).cast("string")
     kept = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
-    rows = docs.select(*[F.col(c) for c in kept if c != text_col], text.alias("_text"))
+    rows = packed_rows(docs, _text=column(text_col).cast("string"))
     rows = rows.withColumn("_found", F.regexp_extract_all("_text", F.lit(FORM), F.lit(0)))
     rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))))
     whole = F.array_join(
@@ -275,4 +276,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     def count(kind: str) -> Column:
         return F.coalesce(F.size(F.filter("_new", lambda v: v["kind"] == kind)), F.lit(0)).cast("bigint").alias(f"n_{kind}")
 
-    return rows.select(*[new_text.alias(text_col) if c == text_col else F.col(c) for c in kept], *[count(k) for k in KINDS])
+    return rows.select(*[new_text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept], *[count(k) for k in KINDS])

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []  # the folder of a session on one machine that names none
 
@@ -31,3 +32,22 @@ def written(table: DataFrame, name: str) -> DataFrame:
     path = shared_path(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed_rows(table: DataFrame, **more: Column) -> DataFrame:
+    """The rows as structs `_row`, so that no column's name can clash, and the columns of `more`."""
+    return table.select(F.struct(*[column(c) for c in table.columns]).alias("_row"), *[c.alias(k) for k, c in more.items()])
+
+
+def without(table: DataFrame, name: str, values: DataFrame, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """The rows of `table` whose column `name` has none of the values (one bigint column). Up to
+    `broadcast_rows` values (8 MB) go to every task; more are joined by a shuffle. Null is kept."""
+    values = written(values.distinct().toDF("_value"), "values")
+    if values.count() <= broadcast_rows:
+        values = F.broadcast(values)
+    return table.join(values, column(name).cast("bigint") == values["_value"], "left_anti")
