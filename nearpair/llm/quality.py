@@ -95,15 +95,29 @@ def fit_ordinal(x: list[np.ndarray], grade: np.ndarray, grades: int) -> tuple[np
     return weights, cuts
 
 
-def fit_grades(rated: DataFrame, grades: int, per_grade: int = PER_GRADE) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds from `text, grade` (0..grades - 1). Rows with a null or any other
-    grade are not learned from; without rows all weights are 0."""
+def sample_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`text, grade` of about `per_grade` rated documents for each grade at most.
+
+    ratings: `id, grade`; of several for one id the lowest counts, null grades do not. The ids of
+    lowest hash are chosen first and sent to all tasks (their number has the stated bound), so no
+    text moves that is not in the sample. Of several texts with one id, one stays.
+    """
+    rated = ratings.filter("grade IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
+    counts = rated.groupBy("grade").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+    chosen = rated.join(F.broadcast(counts), "grade").filter(share * F.col("rows") < per_grade).select("id", "grade")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id").agg(F.min_by(F.struct("text", "grade"), F.xxhash64("text")).alias("x")).select("x.*")
+
+
+def fit_grades(rated: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds from `text, grade` (0..grades - 1), a sample of bounded size.
+
+    Rows with a null or any other grade are not learned from; without rows all weights are 0.
+    """
     rows = rated.select(F.col("text").cast("string").alias("text"), F.col("grade").cast("int").alias("grade"))
     rows = rows.filter(F.col("grade").between(0, grades - 1))
-    counts = rows.groupBy("grade").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(F.broadcast(counts), "grade").filter(share * F.col("rows") < per_grade)
-    sample = written(sample.select("text", "grade").distinct().mapInArrow(_featured, "grade int, x binary"), "ratings")
+    sample = written(rows.select("text", "grade").distinct().mapInArrow(_featured, "grade int, x binary"), "ratings")
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("grade", "ascending"), ("x", "ascending")])

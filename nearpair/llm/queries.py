@@ -14,7 +14,7 @@ from nearpair.llm.jaccard import jaccard_components
 from nearpair.llm.language import fit_languages, predict_languages, training_rows
 from nearpair.llm.mixing import mixing_plan
 from nearpair.llm.pseudonyms import pseudonymise
-from nearpair.llm.quality import fit_grades, grade_texts
+from nearpair.llm.quality import fit_grades, grade_texts, sample_ratings
 from nearpair.llm.rules import quality_verdicts
 from nearpair.llm.secrets import secret_spans
 from nearpair.llm.ship import ship_package
@@ -110,16 +110,16 @@ KEPT = 0.3  # least P(good) of a kept document; below 1/2, as losing good docume
 
 
 def ratings(spark, folder):
-    """`text, grade` of the labelled documents: 0 toxic, 1 not toxic but of low quality, 2 good."""
-    labels = table(spark, folder, "labels").dropDuplicates(["doc_id"])
+    """`id, grade` of the labels: 0 toxic, 1 not toxic but of low quality, 2 good."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2)
-    return table(spark, folder, "documents").join(labels.select("doc_id", grade.alias("grade")), "doc_id").select("text", "grade")
+    return table(spark, folder, "labels").select(F.col("doc_id").alias("id"), grade.alias("grade"))
 
 
 @query
 def op10_ordinal_quality(spark, folder):
-    model = fit_grades(ratings(spark, folder), GRADES)
-    graded = grade_texts(table(spark, folder, "documents"), model)
+    docs = table(spark, folder, "documents")
+    model = fit_grades(sample_ratings(docs, ratings(spark, folder)), GRADES)
+    graded = grade_texts(docs, model)
     return graded.select(
         F.col("id").alias("doc_id"), "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"),
         ((F.col("tails")[0] >= 0.5) & (F.col("tails")[1] >= KEPT)).alias("kept"),
