@@ -111,24 +111,27 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = parts.withColumn("role", role).withColumn("strong", _in(list(_BASE)))
     # an interval reaches into the bins beside its own; a long part stands in all it touches
     bins = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
-    dealt = parts.withColumn("bin", F.explode(bins)).withColumn("home", F.floor(F.col("start") / scope) == F.col("bin"))
+    dealt = parts.withColumn("bin", F.explode(bins)).withColumn("home", F.col("bin").between(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))
     # a stretch of the bins: what begins before a part, and what begins at it or after
     before = Window.partitionBy("row", "scope", "bin").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("row", "scope", "bin").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
-    out = dealt
+    out, flags = dealt, []
     for name in ("id", "secret", "place"):
         for strong in (False, True):
             chosen = (F.col("role") == name) & (F.col("strong") if strong else F.lit(True))
             left = F.max(F.when(chosen, F.col("end"))).over(before)
             right = F.min(F.when(chosen, F.col("start"))).over(after)
             near = F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
-            out = out.withColumn(f"{'strong' if strong else 'any'}_{name}", near)
+            flags.append(f"{'strong' if strong else 'any'}_{name}")
+            out = out.withColumn(flags[-1], near)
+    # what a long part is near to is what any of its bins says
+    whole = out.filter("home").groupBy("row", "kind", "start", "end", "role", "strong").agg(*[F.bool_or(f).alias(f) for f in flags])
     kept = F.col("strong")
     others = {"id": ("secret", "place"), "secret": ("id", "place"), "place": ("id", "secret")}
     for name, (a, b) in others.items():
         complete = (F.col(f"any_{a}") & F.col(f"any_{b}")) | F.col(f"strong_{a}") | F.col(f"strong_{b}")
         kept = kept | ((F.col("role") == name) & complete)
-    return out.filter("home").filter(kept).select("row", "kind", "start", "end", "strong")
+    return whole.filter(kept).select("row", "kind", "start", "end", "strong")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
