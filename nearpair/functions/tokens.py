@@ -42,10 +42,6 @@ def char_tokens(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(text, ""), ""))
 
 
-def token_set(tokens: Column) -> Column:
-    return F.array_distinct(tokens)
-
-
 def tokenize(text: Column, tokenizer: str, q: int = 3) -> Column:
     """Token array of `text` under a named tokenizer; null for null text."""
     if tokenizer == "space":

@@ -118,11 +118,8 @@ def distinct_ids(pairs: DataFrame, ordered: bool) -> DataFrame:
         pairs = pairs.select(
             F.least("id_l", "id_r").alias("id_l"), F.greatest("id_l", "id_r").alias("id_r")
         )
-    # The copies of a pair come from different keys, so merging them before the shuffle would
-    # find few. A fixed partition count keeps AQE from sizing tasks by these small rows: what
-    # follows compares whole records per row.
-    pairs = pairs.select("id_l", "id_r")
-    return pairs.repartition(shuffle_partitions(pairs), "id_l", "id_r").distinct()
+    # AQE sizes this, the largest table of a join
+    return pairs.select("id_l", "id_r").distinct()
 
 
 def shuffle_partitions(frame: DataFrame) -> int:

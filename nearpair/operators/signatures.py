@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 HOT_TOKEN = 20_000
 HOT_GRAM = 1_000
 
-_KEY_TYPE = "array<struct<key:bigint,used:int,last:int,pos1:int,pos2:int>>"
-
-
 def signature_keys(
     records: DataFrame, prefix: Column, least_shared: Column, hot_token: int = HOT_TOKEN
 ) -> DataFrame:
@@ -42,43 +39,39 @@ def signature_keys(
         (F.col("n") - F.greatest(least_shared, F.lit(2)) + 2).cast("int").alias("_p2"),
         (least_shared <= 1).alias("_small"),
     ).filter(F.col("_p1") > 0)
-    keys = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.col("_p1")), _keys_from(hot_token))
-    ).cast(_KEY_TYPE)
-    return rows.select("id", "n", F.inline_outer(keys)).filter(F.col("key").isNotNull())
-
-
-def _keys_from(hot_token: int):
-    ordered, p2, small = F.col("ordered"), F.col("_p2"), F.col("_small")
-    none = F.array().cast(_KEY_TYPE)
-
-    def keys(i: Column) -> Column:
-        first = F.get(ordered, i - 1)
-        alone = F.array(
-            F.struct(
-                F.xxhash64(first["token"]).alias("key"),
-                F.lit(1).alias("used"),
-                i.alias("last"),
-                first["pos"].alias("pos1"),
-                F.lit(None).cast("int").alias("pos2"),
-            )
-        )
-
-        def with_second(j: Column) -> Column:
-            second = F.get(ordered, j - 1)
-            return F.struct(
-                F.xxhash64(first["token"], second["token"]).alias("key"),
-                F.lit(2).alias("used"),
-                j.alias("last"),
-                first["pos"].alias("pos1"),
-                second["pos"].alias("pos2"),
-            )
-
-        paired = F.when(i < p2, F.transform(F.sequence(i + 1, p2), with_second)).otherwise(none)
-        hot = F.concat(F.when(small, alone).otherwise(none), paired)
-        return F.when(first["freq"] <= hot_token, alone).otherwise(hot)
-
-    return keys
+    # keys come as rows, first by first token, then by second: no record holds them all at once
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("_p1"))).alias("last1"))
+    rows = rows.withColumn("_first", F.get("ordered", F.col("last1") - 1))
+    rows = rows.filter(_shared("_first"))
+    rows = rows.select("*", F.explode(_seconds(hot_token)).alias("last2"))
+    rows = rows.withColumn("_second", F.get("ordered", F.col("last2") - 1))
+    alone = F.col("last2") == 0
+    rows = rows.filter(alone | _shared("_second"))
+    return rows.select(
+        "id",
+        "n",
+        F.when(alone, F.xxhash64("_first.token"))
+        .otherwise(F.xxhash64("_first.token", "_second.token"))
+        .alias("key"),
+        F.when(alone, 1).otherwise(2).alias("used"),
+        F.when(alone, F.col("last1")).otherwise(F.col("last2")).alias("last"),
+        F.col("_first.pos").alias("pos1"),
+        F.when(~alone, F.col("_second.pos")).alias("pos2"),
+    )
+
+
+def _shared(entry: str) -> Column:
+    """A token that occurs once in all tables matches nothing."""
+    return F.col(f"{entry}.freq") > 1
+
+
+def _seconds(hot_token: int) -> Column:
+    """Ranks of the second tokens a first one is paired with; 0 is none."""
+    first, p2 = F.col("last1"), F.col("_p2")
+    none = F.array().cast("array<int>")
+    paired = F.when(first < p2, F.sequence(first + 1, p2)).otherwise(none)
+    hot = F.concat(F.when(F.col("_small"), F.array(F.lit(0))).otherwise(none), paired)
+    return F.when(F.col("_first.freq") <= hot_token, F.array(F.lit(0))).otherwise(hot)
 
 
 def rename_side(rows: DataFrame, side: str) -> DataFrame:

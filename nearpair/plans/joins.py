@@ -20,11 +20,12 @@ from nearpair.operators.candidates import (
     size_fits,
 )
 from nearpair.operators.cells import cell_candidates, choose_anchors, route
-from nearpair.operators.minhash import HOT_BUCKET, band_candidates
+from nearpair.operators.minhash import HOT_BUCKET, band_candidates, bucket_keys
 from nearpair.operators.pairs import weigh_pairs
 from nearpair.operators.signatures import HOT_GRAM, HOT_TOKEN
 from nearpair.plans.parts import (
     gram_keys,
+    once,
     same_text,
     same_tokens,
     set_keys,
@@ -105,8 +106,8 @@ def ed_join(
     found = ed_candidates(keys, None, tau, q, positional=True)
     candidates = with_short_pairs(found, texts, None, tau, q)
     rows = sides(candidates, filters.gram_profiles(texts, q, tau), None)
-    rows = rows.withColumn(
-        "mismatched", filters.mismatched_positions(F.col("placed_l"), F.col("nearby_r"), q)
+    rows = once(
+        rows, "mismatched", filters.mismatched_positions(F.col("placed_l"), F.col("nearby_r"), q)
     )
     rows = rows.filter(filters.few_mismatches(F.col("mismatched"), q, tau))
     rows = rows.filter(filters.mismatches_explained(F.col("mismatched"), q, tau))
@@ -179,13 +180,15 @@ def minhash_jaccard(
     """Approximate: pairs that agree in a table of min-hashes and pass the exact measure.
 
     That is Jaccard >= threshold or, strictly, 1 - Jaccard < max_distance. A pair of
-    similarity J is missed with probability (1 - J ** rows_per_table) ** num_tables. Groups
-    of an overfull bucket are compared through their exact prefixes instead, so no bucket
-    compares all its members.
+    similarity J is missed with probability (1 - J ** rows_per_table) ** num_tables. Members
+    of an overfull bucket meet on an exact prefix token of theirs inside the bucket: the pairs
+    found are the bucket's, whatever the limit, but they are not compared all with all.
     """
     least = threshold if max_distance is None else max(1 - max_distance, EPS)
     banded, crowded = band_candidates(groups, num_tables, rows_per_table, seed, hot_bucket)
-    exact = prefix_set_candidates(crowded, None, "jaccard", least)
+    members = groups.join(crowded.select("id").distinct(), "id", "left_semi")
+    (keys,) = set_keys([members], "jaccard", least)
+    exact = set_candidates(bucket_keys(keys, crowded), None, "jaccard", least)
     rows = sides(banded.unionByName(exact).distinct(), groups, None)
     rows = rows.filter(size_fits("jaccard", least, F.size("tokens_l"), F.size("tokens_r")))
     passes = F.col("score") >= threshold if max_distance is None else _closer(max_distance)

@@ -108,9 +108,17 @@ def verify_ed(pairs: DataFrame, tau: int) -> DataFrame:
     return pairs.filter(score >= 0).withColumn("score", score)
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """`rows` with a column that is evaluated once a row, however often it is used.
+
+    A generator stands between: the optimizer would copy a plain expression into every use.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def verify_sets(pairs: DataFrame, measure: str, passes: Column) -> DataFrame:
     """Keep pairs of token sets (tokens_l, tokens_r) whose `score` satisfies `passes`."""
-    scored = pairs.withColumn("common", overlap(F.col("tokens_l"), F.col("tokens_r")))
+    scored = once(pairs, "common", overlap(F.col("tokens_l"), F.col("tokens_r")))
     score = similarity_from_counts(
         measure, F.col("common"), F.size("tokens_l"), F.size("tokens_r")
     )

@@ -57,19 +57,27 @@ def read_csv_records(
     header: bool = False,
     infer: bool = False,
     id_col: str | None = None,
+    quote: str = '"',
+    escape: str = '"',
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Records from a delimited file. Values stay as written unless `infer` is set."""
-    rows = spark.read.csv(path, sep=sep, header=header, inferSchema=infer)
+    """Records from a delimited file. Values stay as written unless `infer` is set.
+
+    `multi_line` reads quoted values with line breaks; such a file is read by one task.
+    """
+    rows = spark.read.csv(
+        path, sep=sep, header=header, inferSchema=infer, quote=quote, escape=escape, multiLine=multi_line
+    )
     return records_from_columns(rows, id_col=id_col, sep=sep)
 
 
 def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write a pair table as parquet or csv, one file per task."""
+    """Write a pair table as parquet or csv (quotes doubled), one file per task."""
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"format must be parquet or csv, got {fmt!r}")
     writer = pairs.write.mode(mode)
     if fmt == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, escape='"')
     else:
         writer.parquet(path)
 
@@ -77,9 +85,12 @@ def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below the cluster's `spark.checkpoint.dir`.
 
-    Only a session that names none (tests on one machine) gets a local temporary folder.
+    Without the setting it is an error on a cluster; a session on one machine gets a temporary
+    folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="nearpair-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
