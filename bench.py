@@ -21,14 +21,15 @@ from nearpair.workload.queries import queries  # noqa: E402
 HEADLINE = [
     "token_frequency",
     "token_order_idf",
-    "cross_self_ed",
+    # one table, one threshold: the exhaustive join and the methods against it
+    "cross_self_ed_skew",
+    "prefix_self_ed_skew",
+    "ed_join_self_skew",
+    "gram_count_self_skew",
+    "cluster_self_ed_skew",
     "cross_rs_ed",
-    "cross_self_jaccard",
-    "prefix_self_ed",
-    "ed_join_self",
-    "gram_count_self",
-    "cluster_self_ed",
     "prefix_rs_ed",
+    "cross_self_jaccard",
     "prefix_self_jaccard",
     "prefix_self_cosine",
     "prefix_self_dice",

@@ -11,9 +11,9 @@ GRAMS = "list_transform(range(1, length({0}) + 3), lambda i: substr(" + PADDED +
 
 PARTS = "SELECT p_partkey AS id, p_name || ' ' || p_brand AS text FROM part"
 DOCUMENTS = "SELECT doc_id AS id, text FROM documents"
-LABELLED = "SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+BENCHMARK = "SELECT item_id AS id, text FROM benchmark"
+CUSTOMERS = "SELECT c_custkey AS id, c_name AS text FROM customer"
 URLS = "SELECT page_id AS id, url AS text FROM pages"
-BARE_URLS = "SELECT page_id AS id, regexp_replace(url, '[?#].*$', '') AS text FROM pages"
 
 
 def texts(records: str) -> str:
@@ -47,7 +47,8 @@ def rs_ed(left: str, right: str, tau: int) -> str:
 WITH l AS MATERIALIZED ({texts(left)}), r AS MATERIALIZED ({texts(right)})
 SELECT l.id AS id_l, r.id AS id_r, levenshtein(l.text, r.text) AS score,
        l.records * r.records AS pairs
-FROM l JOIN r ON levenshtein(l.text, r.text) <= {tau}"""
+FROM l JOIN r ON abs(length(l.text) - length(r.text)) <= {tau}
+WHERE levenshtein(l.text, r.text) <= {tau}"""
 
 
 SIMILARITY = {
@@ -57,7 +58,7 @@ SIMILARITY = {
 }
 
 
-def scored(left: str, right: str, ordered: bool, measure: str) -> str:
+def scored(left: str, right: str, ordered: bool, measure: str, ratio: str = "0.24") -> str:
     """CTEs ending in `scored` (i, j, ra, rb, s): all pairs with a common token."""
     order = "AND a.id < b.id" if ordered else ""
     return f"""
@@ -67,7 +68,7 @@ rt AS (SELECT id, n, records, unnest(toks) AS token FROM r),
 common AS (SELECT a.id AS i, b.id AS j, a.n AS na, b.n AS nb, a.records AS ra, b.records AS rb,
                   count(*) AS o
            FROM lt a JOIN rt b ON a.token = b.token {order}
-             AND least(a.n, b.n) >= 0.24 * greatest(a.n, b.n)
+             AND least(a.n, b.n) >= {ratio} * greatest(a.n, b.n)
            GROUP BY ALL),
 scored AS (SELECT i, j, ra, rb, {SIMILARITY[measure]} AS s FROM common)"""
 
@@ -81,15 +82,15 @@ UNION ALL
 SELECT id, id, 1.0, records * (records - 1) // 2 FROM l WHERE records > 1"""
 
 
-def rs_sets(left: str, right: str, measure: str, passes: str) -> str:
+def rs_sets(left: str, right: str, measure: str, passes: str, ratio: str = "0.24") -> str:
     return f"""
-WITH {scored(sets(left), sets(right), False, measure)}
+WITH {scored(sets(left), sets(right), False, measure, ratio)}
 SELECT i AS id_l, j AS id_r, round(s, 6) AS score, ra * rb AS pairs FROM scored WHERE {passes}"""
 
 
 PART_PAIRS = self_ed(PARTS, 1)
 JACCARD_8 = self_sets(DOCUMENTS, "jaccard", "s >= 0.8")
-JACCARD_5 = self_sets(DOCUMENTS, "jaccard", "s >= 0.5")
+MINHASH = self_sets(DOCUMENTS, "jaccard", "s > 0.8 + 1e-9")  # 1 - s < 0.2 without the rounding of 1 - s
 
 TURNS = f"""
 SELECT a.conv_id, a.turn, list_distinct({SPLIT.format('a.text')}) AS x,
@@ -116,16 +117,15 @@ prefix AS MATERIALIZED (
     SELECT * FROM ranked WHERE rank <= n - ceil(0.8 * n - 1e-9) + 1)"""
 
 
-def overlapping(left: str, right: str, order: str) -> str:
+def overlapping(left: str, right: str, order: str, t: str) -> str:
     """Pairs that share a prefix token and pass the size, prefix and position bounds."""
-    ratio = "0.8::DOUBLE"
     return f"""
 SELECT DISTINCT least(a.id, b.id) AS x, a.id AS id_l, b.id AS id_r
 FROM {left} a JOIN {right} b ON a.token = b.token {order}
-WHERE least(a.n, b.n) >= ceil({ratio} * greatest(a.n, b.n) - 1e-9)
-  AND CASE WHEN a.n >= b.n THEN b.rank <= b.n - ceil(1.6 / 1.8 * b.n - 1e-9) + 1
-           ELSE a.rank <= a.n - ceil(1.6 / 1.8 * a.n - 1e-9) + 1 END
-  AND 1 + least(a.n - a.rank, b.n - b.rank) >= ceil(0.8 / 1.8 * (a.n + b.n) - 1e-9)"""
+WHERE least(a.n, b.n) >= ceil({t}::DOUBLE * greatest(a.n, b.n) - 1e-9)
+  AND CASE WHEN a.n >= b.n THEN b.rank <= b.n - ceil(2 * {t} / (1 + {t}) * b.n - 1e-9) + 1
+           ELSE a.rank <= a.n - ceil(2 * {t} / (1 + {t}) * a.n - 1e-9) + 1 END
+  AND 1 + least(a.n - a.rank, b.n - b.rank) >= ceil({t} / (1 + {t}) * (a.n + b.n) - 1e-9)"""
 
 
 # For equal sizes in a self join the later id takes the shorter prefix.
@@ -139,18 +139,14 @@ WHERE b.n >= ceil(0.8 * a.n - 1e-9)
   AND 1 + least(a.n - a.rank, b.n - b.rank) >= ceil(0.8 / 1.8 * (a.n + b.n) - 1e-9)"""
 
 CANDIDATES_RS = f"""
-WITH l AS MATERIALIZED ({sets(LABELLED)}), r AS MATERIALIZED ({sets(DOCUMENTS)}),
+WITH l AS MATERIALIZED ({sets(DOCUMENTS)}), r AS MATERIALIZED ({sets(BENCHMARK)}),
 lt AS (SELECT id, n, unnest(toks) AS token FROM l),
 rt AS (SELECT id, n, unnest(toks) AS token FROM r),
-freq AS (SELECT token, count(*) AS freq FROM
-         (SELECT token FROM lt UNION ALL SELECT token FROM rt) GROUP BY token),
-lr AS (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY freq, token) AS rank
-       FROM lt JOIN freq USING (token)),
-rr AS (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY freq, token) AS rank
-       FROM rt JOIN freq USING (token)),
-lp AS (SELECT * FROM lr WHERE rank <= n - ceil(0.8 * n - 1e-9) + 1),
-rp AS (SELECT * FROM rr WHERE rank <= n - ceil(0.8 * n - 1e-9) + 1)
-SELECT DISTINCT id_l, id_r FROM ({overlapping('lp', 'rp', '')})"""
+lr AS (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY token) AS rank FROM lt),
+rr AS (SELECT id, n, token, row_number() OVER (PARTITION BY id ORDER BY token) AS rank FROM rt),
+lp AS (SELECT * FROM lr WHERE rank <= n - ceil(0.3 * n - 1e-9) + 1),
+rp AS (SELECT * FROM rr WHERE rank <= n - ceil(0.3 * n - 1e-9) + 1)
+SELECT DISTINCT id_l, id_r FROM ({overlapping('lp', 'rp', '', '0.3')})"""
 
 # q-grams of the distinct part texts, ranked rarest first; the first q * tau + 1 = 7 of them
 RANKED_GRAMS = f"""
@@ -180,6 +176,10 @@ FIRST_POSITIONS = f"""
 WITH {RANKED_GRAMS},
 p AS (SELECT id, list(pos::BIGINT ORDER BY rank) AS ps FROM prefix GROUP BY id)"""
 
+ALL_POSITIONS = f"""
+WITH {RANKED_GRAMS},
+p AS (SELECT id, list(pos::BIGINT ORDER BY rank) AS ps FROM ranked GROUP BY id)"""
+
 MISMATCHES = f"""
 WITH {GRAM_CANDIDATES},
 side AS (SELECT c.id_l, c.id_r, a.gram, a.pos FROM cand c JOIN grams a ON a.id = c.id_l),
@@ -258,7 +258,7 @@ ORACLES = {
                least(grams, 4) AS ed
         FROM s""",
     "prefix_tokens": f"WITH {RANKED_SETS} SELECT id, token, rank FROM prefix",
-    "min_edit_errors": f"{FIRST_POSITIONS} SELECT id, {ERRORS.format('ps')} AS errors FROM p",
+    "min_edit_errors": f"{ALL_POSITIONS} SELECT id, {ERRORS.format('ps')} AS errors FROM p",
     "min_prefix_length": f"""
         {FIRST_POSITIONS},
         k AS (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS k FROM p)
@@ -275,7 +275,8 @@ ORACLES = {
     "filter_position": f"""
         WITH {RANKED_GRAMS}
         SELECT DISTINCT a.id AS id_l, b.id AS id_r FROM prefix a JOIN prefix b
-        ON a.gram = b.gram AND a.id < b.id AND abs(a.n - b.n) <= 2 AND abs(a.pos - b.pos) <= 2""",
+        ON a.gram = b.gram AND a.id < b.id AND a.rank <= 4 AND b.rank <= 4
+           AND abs(a.n - b.n) <= 1 AND abs(a.pos - b.pos) <= 1""",
     "filter_count": f"""
         WITH {GRAM_CANDIDATES},
         bag AS (SELECT id, n, gram, count(*) AS copies FROM grams GROUP BY ALL)
@@ -304,21 +305,41 @@ ORACLES = {
     "score_dice": turn_score("dice"),
     "cross_self_ed": self_ed(URLS, 2),
     "cross_self_jaccard": self_sets(URLS, "jaccard", "s >= 0.7", GRAMS),
-    "cross_rs_ed": rs_ed(URLS, BARE_URLS, 2),
+    "cross_rs_ed": rs_ed(PARTS, PARTS, 1),
     "prefix_self_ed": PART_PAIRS,
     "prefix_self_jaccard": JACCARD_8,
     "prefix_self_cosine": self_sets(DOCUMENTS, "cosine", "s >= 0.8"),
     "prefix_self_dice": self_sets(DOCUMENTS, "dice", "s >= 0.8"),
-    "prefix_rs_ed": rs_ed(URLS, BARE_URLS, 2),
-    "prefix_rs_jaccard": rs_sets(LABELLED, DOCUMENTS, "jaccard", "s >= 0.8"),
-    "prefix_rs_cosine": rs_sets(LABELLED, DOCUMENTS, "cosine", "s >= 0.8"),
-    "prefix_rs_dice": rs_sets(LABELLED, DOCUMENTS, "dice", "s >= 0.8"),
+    "prefix_rs_ed": rs_ed(PARTS, PARTS, 1),
+    "prefix_rs_jaccard": rs_sets(DOCUMENTS, BENCHMARK, "jaccard", "s >= 0.3"),
+    "prefix_rs_cosine": rs_sets(DOCUMENTS, BENCHMARK, "cosine", "s >= 0.3", "0.08"),
+    "prefix_rs_dice": rs_sets(DOCUMENTS, BENCHMARK, "dice", "s >= 0.3", "0.17"),
+    **{
+        name: self_ed(CUSTOMERS, 1)
+        for name in (
+            "prefix_self_ed_skew", "ed_join_self_skew", "gram_count_self_skew", "cluster_self_ed_skew",
+            "cross_self_ed_skew",
+        )
+    },
+    "prefix_self_jaccard_hot": JACCARD_8,
+    "similarity_join_records": f"""
+        SELECT a.id AS id_l, a.text AS text_l, b.id AS id_r, b.text AS text_r,
+               levenshtein(a.text, b.text) AS score
+        FROM ({URLS}) a JOIN ({URLS}) b
+        ON a.id < b.id AND levenshtein(a.text, b.text) <= 2""",
+    "similarity_join_group_records": f"""
+        WITH m AS MATERIALIZED (
+            SELECT id, min(id) OVER (PARTITION BY toks) AS g FROM
+            (SELECT id, list_sort(list_distinct({SPLIT.format('text')})) AS toks FROM ({DOCUMENTS}))
+            WHERE len(toks) > 0)
+        SELECT least(a.id, b.id) AS id_l, greatest(a.id, b.id) AS id_r, p.score
+        FROM ({JACCARD_8}) p JOIN m a ON a.g = p.id_l JOIN m b ON b.g = p.id_r
+        WHERE p.id_l <> p.id_r OR a.id < b.id""",
     "ed_join_self": PART_PAIRS,
     "gram_count_self": PART_PAIRS,
     "cluster_self_ed": PART_PAIRS,
     "cluster_self_jaccard": JACCARD_8,
-    # 1 - s < 0.2 without the rounding of 1 - s
-    "minhash_self_jaccard": self_sets(DOCUMENTS, "jaccard", "s > 0.8 + 1e-9"),
+    "minhash_self_jaccard": MINHASH,
     "cluster_home": f"{CELLS} SELECT id, anchor_id, dist FROM home",
     "cluster_outer": f"{CELLS} SELECT id, anchor_id, dist FROM outer_cells",
     "cluster_cell_sizes": f"""
@@ -328,19 +349,20 @@ ORACLES = {
               SELECT anchor_id, false FROM outer_cells) GROUP BY anchor_id""",
     "pairs_normalize": f"""
         SELECT DISTINCT least(id_l, id_r) AS id_l, greatest(id_l, id_r) AS id_r
-        FROM ({rs_sets(LABELLED, DOCUMENTS, 'jaccard', 's >= 0.8')})""",
+        FROM ({rs_sets(DOCUMENTS, DOCUMENTS, 'jaccard', 's >= 0.8')})""",
     "pairs_sorted": f"SELECT * FROM ({JACCARD_8}) ORDER BY id_l, id_r",
     "pairs_difference": self_sets(DOCUMENTS, "jaccard", "s >= 0.5 AND s < 0.8").split("UNION ALL")[0],
     "pairs_intersection": f"""
         SELECT * FROM ({JACCARD_8}) WHERE (id_l, id_r) IN
         (SELECT (id_l, id_r) FROM ({self_sets(DOCUMENTS, 'cosine', 's >= 0.95')}))""",
     "evaluate_pairs": f"""
-        WITH p AS MATERIALIZED (SELECT id_l, id_r, score FROM ({JACCARD_5}))
-        SELECT count(*) AS predicted, count(*) FILTER (score >= 0.8) AS truth,
-               count(*) FILTER (score >= 0.8) AS hits,
-               round(count(*) FILTER (score >= 0.8) / count(*)::DOUBLE, 6) AS precision,
-               1.0::DOUBLE AS recall
-        FROM p""",
+        WITH p AS MATERIALIZED (SELECT id_l, id_r FROM ({MINHASH})),
+        t AS MATERIALIZED (
+            SELECT id_l, id_r FROM ({self_sets(DOCUMENTS, 'cosine', 's >= 0.9')})),
+        c AS (SELECT (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM t) AS truth,
+                     (SELECT count(*) FROM p JOIN t USING (id_l, id_r)) AS hits)
+        SELECT predicted, truth, hits, round(hits / predicted::DOUBLE, 6) AS precision,
+               round(hits / truth::DOUBLE, 6) AS recall FROM c""",
     "stage_counts": f"""
         WITH {RANKED_SETS},
         entry AS MATERIALIZED (SELECT token, count(*) AS size FROM prefix GROUP BY token)
