@@ -8,12 +8,13 @@ with one power step, gives the latent space: each pass sums A'(A X) over all cel
 rows of A are the corpus' cells and the items, the items weighed so that both halves have the
 same mass.
 
-Search: every window of two cells is compared with every item by cosine in the latent space. A
-window above the threshold is only a candidate: the longest common subsequence of the item and
+Search: every window of as many cells as the longest item may stretch over is compared with every item by cosine in the latent space, and
+by how much of the item's vector it covers. A window above both thresholds is only a candidate: the longest common subsequence of the item and
 the words around the window decides, and where it is too short for a copy but long enough for a
 paraphrase, the item's answer must be there as well.
 
-The benchmark is worked through in blocks of a bounded number of terms.
+The benchmark is worked through in blocks of a bounded number of items and terms. A space of fewer
+dimensions than items blurs them and makes thousands of times as many candidates.
 """
 
 from __future__ import annotations
@@ -32,16 +33,18 @@ from nearpair.llm.tables import column, without, written
 from nearpair.llm.words import LETTERS, chunks, text_buffer, words_of
 
 CELL = 32  # words
-RANK = 128
+RANK = 256
 OVERSAMPLE = 16
+BLOCK_ITEMS = 200  # fewer than the rank, so that the space can tell a block's items apart
 BLOCK_TERMS = 1 << 14  # words of the items in a block, about
-COSINE = 0.3  # of a candidate; planted copies have 0.4 and more
+COSINE = 0.2  # of a candidate's window with the item
+COVERED = 0.45  # least share of the item's own length that the window has in its direction
 COPY = 0.75  # least share of the item's words in order: a copy
 PARAPHRASE = 0.55  # the same with the answer there
 ANSWER = 0.75  # least share of the answer's words in order
 LEAST_WORDS = 8  # an item with fewer must be there whole
-COMMON = 0.01  # share of the cells from which a term is common
-RARE_TERMS = 12  # an item's rarest terms are never common
+COMMON = 0.003  # share of the cells from which a term is common
+RARE_TERMS = 6  # an item's rarest terms are never common
 _STEP = 1 << 15  # term places worked on at once
 
 
@@ -239,6 +242,10 @@ class Judge:
         size = len(self.items.words[item])
         span = size + size // 2 + 2
         best = (False, 0.0, 0.0, float(first))
+        a, b = np.searchsorted(place, (first, last))
+        # no stretch has more than all of them
+        if b - a < self.limits[1] * size * 0.999 or _length(self.masks[item], size, term[a:b].tolist()) < self.limits[1] * size * 0.999:
+            return best
         for begin in range(first, max(first + 1, last - span + size // 2 + 1), max(1, size // 4)):
             a, b = np.searchsorted(place, (begin, begin + span))
             text = term[a:b].tolist()
@@ -260,8 +267,10 @@ def _search(shared, limits: tuple, cosine: float):
         items, weights, basis = shared.value
         judge = Judge(items, *limits)
         target = np.stack([weights[w] @ basis[w] for w in items.words])
-        target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
-        longest = [len(w) + len(w) // 2 for w in items.words]
+        size = np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
+        target /= size
+        stretch = [len(w) + len(w) // 2 + 2 for w in items.words]
+        width = -(-max(stretch) // CELL) + 1  # cells; a stretch that begins in the first fits
         for ids, doc, place, term in _steps(batches):
             out: dict[tuple, tuple] = {}
             starts = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -269,18 +278,22 @@ def _search(shared, limits: tuple, cosine: float):
             if not len(keep):
                 continue
             at, cell_doc, cell = _cells(doc[keep], place[keep])
-            window = _vectors(weights, basis, term[keep], at)
-            follows = (cell_doc[1:] == cell_doc[:-1]) & (cell[1:] == cell[:-1] + 1)
-            window[:-1][follows] += window[1:][follows].copy()
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
+            sums = np.zeros((len(at) + 1, basis.shape[1]))
+            np.cumsum(_vectors(weights, basis, term[keep], at), axis=0, out=sums[1:])
+            code = cell_doc * (int(cell.max()) + width + 1) + cell
+            window = (sums[np.searchsorted(code, code + width)] - sums[:-1]).astype(np.float32)
             near = window @ target.T
-            for w, item in zip(*np.nonzero(near >= cosine)):
+            covered = near >= COVERED * size.T
+            near /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
+            for w, item in zip(*np.nonzero((near >= cosine) & covered)):
                 d = cell_doc[w]
+                key = (int(d), int(item))
+                if key in out and out[key][0] == 1:
+                    continue
                 mine = slice(starts[d], starts[d + 1])
                 low = int(cell[w]) * CELL
-                found = judge(int(item), place[mine], term[mine], max(0, low - longest[item]), low + 2 * CELL + longest[item])
+                found = judge(int(item), place[mine], term[mine], max(0, low - stretch[item]), low + CELL + stretch[item])
                 if found[0]:
-                    key = (int(d), int(item))
                     out[key] = max(out.get(key, (0.0,)), (*found[1:], float(near[w, item])))
             if out:
                 rows = [(ids[d], items.ids[i], len(items.words[i]), *v) for (d, i), v in out.items()]
@@ -310,8 +323,10 @@ def contaminated(
     given = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text"), F.lower(given).alias("answer"))
     items = items.filter("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / 6 / BLOCK_TERMS))
+    number, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(math.ceil(size / 6 / BLOCK_TERMS), math.ceil(number / BLOCK_ITEMS), 1)
+    if blocks > 1:  # dealt by hash: leave room for uneven blocks
+        blocks = math.ceil(1.3 * blocks)
     parts = [_found_in_block(rows, items, i, blocks, rank, cosine, (copy, paraphrase, answer)) for i in range(blocks)]
     found = parts[0]
     for part in parts[1:]:
