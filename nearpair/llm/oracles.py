@@ -1,3 +1,68 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express: the quality rules.
 
-ORACLES: dict[str, str] = {}
+The others rest on trained or random vectors, keyed hashes, a tokenizer or connected components
+of links between all documents; they are tested against brute force.
+"""
+
+# Measures of each text: least spread of a group, and whether low values count as well.
+_SLACK = {"word_length": (150, True), "symbols": (40, False), "dup_lines": (300, False), "repeats": (200, False)}
+_LIST = ", ".join(f"('{name}', {least}, {str(low).lower()})" for name, (least, low) in _SLACK.items())
+
+QUALITY = rf"""
+WITH doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS lang,
+           coalesce('=' || source, '') AS source, coalesce(text, '') AS t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)),
+                       lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents),
+win AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS g
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) > 2)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM
+          (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+base AS MATERIALIZED (
+    SELECT doc.r, doc_id, lang, source, len(w)::BIGINT AS n_words,
+           coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+           coalesce(cover.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines
+    FROM doc LEFT JOIN cover ON cover.r = doc.r),
+judged AS MATERIALIZED (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+value AS MATERIALIZED (
+    SELECT r, lang, source, base_failed, m.measure, m.x FROM judged, LATERAL (
+        SELECT unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS measure,
+               unnest([word_chars * 100 // greatest(n_words, 1), n_symbols * 1000 // greatest(word_chars, 1),
+                       n_dup_lines * 1000 // greatest(n_lines, 1),
+                       n_repeat_words * 1000 // greatest(n_words, 1)]) AS x) m),
+rounded AS (
+    SELECT lang, source, measure, (((x >> s) + 1) << s) - 1 AS v
+    FROM (SELECT *, greatest(0, length(bin(x)) - 6) AS s FROM value WHERE NOT base_failed)),
+grouped AS (
+    SELECT 0 AS level, lang, source, measure, v FROM rounded
+    UNION ALL SELECT 1, lang, '', measure, v FROM rounded
+    UNION ALL SELECT 2, '', '', measure, v FROM rounded),
+sketch AS (SELECT level, lang, source, measure, v, count(*) AS n FROM grouped GROUP BY ALL),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY v) AS u,
+                sum(n) OVER (PARTITION BY level, lang, source, measure) AS a FROM sketch),
+quart AS (SELECT level, lang, source, measure, min(v) FILTER (u * 4 >= a) AS q1,
+                 min(v) FILTER (u * 4 >= a * 3) AS q3, max(a) AS n FROM upto GROUP BY ALL),
+fence AS MATERIALIZED (
+    SELECT level, lang, source, q.measure, n, q3 + greatest(3 * (q3 - q1), least_spread) AS high,
+           CASE WHEN both_sides THEN q1 - greatest(3 * (q3 - q1), least_spread) END AS low
+    FROM quart q JOIN (VALUES {_LIST}) k(measure, least_spread, both_sides) ON k.measure = q.measure),
+chosen AS MATERIALIZED (
+    SELECT r, coalesce((SELECT min(level) FROM fence f WHERE n >= 200 AND level < 2
+                        AND f.lang = j.lang AND (level = 1 OR f.source = j.source)), 2) AS level
+    FROM judged j),
+outside AS (
+    SELECT v.r FROM value v JOIN chosen c ON c.r = v.r JOIN fence f
+    ON f.level = c.level AND f.measure = v.measure AND (f.level = 2 OR f.lang = v.lang)
+       AND (f.level > 0 OR f.source = v.source)
+    WHERE v.x > f.high OR v.x < f.low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND j.r NOT IN (SELECT r FROM outside) AS kept, c.level::INT AS fence_level
+FROM judged j JOIN chosen c ON c.r = j.r"""
+
+ORACLES = {"op7_quality_rules": QUALITY}
