@@ -80,7 +80,7 @@ def _sample(docs: DataFrame, per_language: int) -> DataFrame:
     """`text, lang`: the texts of lowest hash, about `per_language` of each language at most."""
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    return docs.join(F.broadcast(counts), "lang").filter(share * F.col("rows") < per_language).select("text", "lang").distinct()
+    return docs.join(counts, "lang").filter(share * F.col("rows") < per_language).select("text", "lang").distinct()
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

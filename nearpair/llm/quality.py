@@ -105,7 +105,7 @@ def sample_ratings(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRA
     rated = ratings.filter("grade IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("grade").cast("int").alias("grade"))
     counts = rated.groupBy("grade").agg(F.count(F.lit(1)).alias("rows"))
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    chosen = rated.join(F.broadcast(counts), "grade").filter(share * F.col("rows") < per_grade).select("id", "grade")
+    chosen = rated.join(counts, "grade").filter(share * F.col("rows") < per_grade).select("id", "grade")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     return rows.groupBy("id").agg(F.min_by(F.struct("text", "grade"), F.xxhash64("text")).alias("x")).select("x.*")
 
