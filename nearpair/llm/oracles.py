@@ -1,4 +1,4 @@
-"""DuckDB SQL of the operators that SQL can express: the quality rules.
+"""DuckDB SQL of the operators that SQL can express: the quality rules and the source mix.
 
 The others rest on trained or random vectors, keyed hashes, a tokenizer or connected components
 of links between all documents; they are tested against brute force.
@@ -65,4 +65,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND j.r NOT IN (SELECT r FROM outside) AS kept, c.level::INT AS fence_level
 FROM judged j JOIN chosen c ON c.r = j.r"""
 
-ORACLES = {"op7_quality_rules": QUALITY}
+# The mix: shares fill up to three times a source's size; a source's rate of copies per weight
+# likewise; what is left over is taken in the order of the random odds, to the nearest word count.
+MIX = r"""
+WITH doc AS MATERIALIZED (
+    SELECT doc_id, coalesce('=' || source, '') AS k,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+drawn AS MATERIALIZED (
+    SELECT *, length(bin(greatest(size, 1)))::DOUBLE AS weight,
+           (('0x' || substr(md5(concat_ws('|', '17', doc_id::VARCHAR, size::VARCHAR)), 1, 13))::BIGINT::DOUBLE
+            + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM doc),
+src AS (SELECT k, sum(size)::BIGINT AS source_size FROM doc GROUP BY k),
+share AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY k = '', k) - 1) % 3 + 1]::DOUBLE AS w,
+                 source_size * 3::DOUBLE AS cap FROM src),
+level AS (SELECT *, (sum(source_size) OVER ()
+                     - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l
+          FROM share),
+found AS (SELECT l AS height FROM level WHERE cap >= l * w ORDER BY cap / w, k LIMIT 1),
+target AS MATERIALIZED (
+    SELECT k, source_size, least(cap, coalesce((SELECT height FROM found) * w, cap)) AS target FROM share),
+bins AS (SELECT k, weight, sum(size)::BIGINT AS words FROM drawn GROUP BY k, weight),
+tried AS (SELECT k, weight, (target - 3 * coalesce(sum(words) OVER (
+                     PARTITION BY k ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / nullif(sum(words * weight) OVER (
+                     PARTITION BY k ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS rate
+          FROM bins JOIN target USING (k)),
+rate AS (SELECT k, max_by(rate, weight) FILTER (rate * weight <= 3 * (1 + 1e-12)) AS rate FROM tried GROUP BY k),
+allotted AS (
+    SELECT *, greatest(least(3::DOUBLE, coalesce(rate * weight, 3::DOUBLE)), 0) AS e
+    FROM drawn JOIN target USING (k) JOIN rate USING (k)),
+ranked AS MATERIALIZED (
+    SELECT *, CASE WHEN p > 1e-9 AND size > 0 THEN o / (1 + o) END AS rank FROM (
+        SELECT *, (u / (1 - u)) / nullif(p / (1 - p), 0) AS o FROM (
+            SELECT *, floor(e + 1e-9) AS whole, e - floor(e + 1e-9) AS p FROM allotted))),
+missing AS (SELECT k, max(target) - sum(size * whole) AS m FROM ranked GROUP BY k),
+upto AS (SELECT k, rank, size, sum(size) OVER (PARTITION BY k ORDER BY rank RANGE UNBOUNDED PRECEDING) AS s
+         FROM ranked WHERE rank IS NOT NULL),
+cut AS (SELECT k, max(rank) AS last FROM upto JOIN missing USING (k)
+        WHERE abs(m - s) <= abs(m - (s - size)) GROUP BY k),
+decided AS (SELECT *, (whole + CASE WHEN rank <= last THEN 1 ELSE 0 END)::BIGINT AS copies
+            FROM ranked LEFT JOIN cut USING (k))
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM decided"""
+
+ORACLES = {"op7_quality_rules": QUALITY, "op9_mix_sources": MIX}
