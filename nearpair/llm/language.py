@@ -100,9 +100,9 @@ def _centroids(table: pa.Table) -> pa.Table:
 
 
 def families(names: list[str], means: np.ndarray) -> list[list[str]]:
-    """Merges the nearest groups of languages (mean cosine) until half as many are left."""
-    unit = means / np.maximum(np.linalg.norm(means - means.mean(axis=0), axis=1, keepdims=True), 1e-9)
-    centred = unit - unit.mean(axis=0)
+    """Merges the nearest groups of languages (mean cosine of the centred means) until half as many are left."""
+    centred = means - means.mean(axis=0)
+    centred = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
     near = centred @ centred.T
     groups = [[i] for i in range(len(names))]
     while len(groups) > max(1, -(-len(names) // 2)):

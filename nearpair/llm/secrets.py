@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,6 @@ from nearpair.llm.tables import written
 SCOPE = 200  # characters
 KINDS = ("assign", "access", "hex", "user", "short", "blob", "endpoint")
 _BASE = ("assign", "access", "hex")
-_ROLE = {"access": "id", "user": "id", "endpoint": "place"}
 
 _VALUE = r"[A-Za-z0-9+/_.=-]+"
 _ASSIGN = re.compile(rf"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?({_VALUE})", re.A | re.I)
@@ -78,7 +78,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds.append([p[0] for p in parts])
                 starts.append([p[1] for p in parts])
                 ends.append([p[2] for p in parts])
-                scopes.append([sum(x <= p[1] for x in breaks) if len(breaks) < 8 else _rank(breaks, p[1]) for p in parts])
+                scopes.append([bisect_right(breaks, p[1]) for p in parts])
         yield pa.RecordBatch.from_arrays(
             [
                 numbers, batch.column("id"), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)), pa.array(digests, pa.string()),
@@ -88,12 +88,6 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _rank(breaks: list[int], place: int) -> int:
-    import bisect
-
-    return bisect.bisect_right(breaks, place)
-
-
 _FOUND = (
     "row bigint, id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, "
     "kinds array<string>, starts array<bigint>, ends array<bigint>, scopes array<bigint>"
