@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ ANSWER = 0.75  # least share of the answer's words in order
 LEAST_WORDS = 8  # an item with fewer must be there whole
 COMMON = 0.003  # share of the cells from which a term is common
 RARE_TERMS = 6  # an item's rarest terms are never common
+FAN = 64  # partial sums added up at once
 _STEP = 1 << 15  # term places worked on at once
 
 
@@ -161,9 +163,14 @@ def _products(shared):
             total[term[order][first]] += np.add.reduceat(back, first, axis=0)
             mass += len(at)
         some = [a for a in range(0, len(total), 1024) if total[a : a + 1024].any()]
+        part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1, *some], pa.int64()), pa.array([np.array([mass], np.float32).tobytes(), *(total[a : a + 1024].tobytes() for a in some)], pa.binary())],
-            ["slice", "x"],
+            [
+                pa.array([-1, *some], pa.int64()),
+                pa.array([part] * (len(some) + 1), pa.int64()),
+                pa.array([np.array([mass], np.float32).tobytes(), *(total[a : a + 1024].tobytes() for a in some)], pa.binary()),
+            ],
+            ["slice", "part", "x"],
         )
 
     return run
@@ -173,16 +180,23 @@ def _summed(table: pa.Table) -> pa.Table:
     total = 0
     for x in table["x"].to_pylist():
         total = total + np.frombuffer(x, np.float32).astype(np.float64)
-    return pa.table({"slice": [table["slice"][0].as_py()], "x": [total.tobytes()]})
+    return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "x": [total.astype(np.float32).tobytes()]})
+
+
+_PART = "slice bigint, part bigint, x binary"
 
 
 def _normal(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis), the corpus' part by Spark."""
     shared = encoded.sparkSession.sparkContext.broadcast((weights, basis.astype(np.float32)))
-    parts = encoded.select("id", "place", "term").mapInArrow(_products(shared), "slice bigint, x binary")
+    tasks = encoded.rdd.getNumPartitions()
+    parts = encoded.select("id", "place", "term").mapInArrow(_products(shared), _PART)
+    while tasks > 1:  # a tree: no group sums more than FAN parts
+        tasks = -(-tasks // FAN)
+        parts = parts.withColumn("part", F.expr(f"part div {FAN}")).groupBy("slice", "part").applyInArrow(_summed, _PART)
     total, mass = np.zeros(basis.shape), 0.0
-    for r in parts.groupBy("slice").applyInArrow(_summed, "slice bigint, x binary").collect():
-        x = np.frombuffer(r["x"], np.float64)
+    for r in parts.collect():
+        x = np.frombuffer(r["x"], np.float32).astype(np.float64)
         if r["slice"] < 0:
             mass = x[0]
         else:
