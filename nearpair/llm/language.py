@@ -20,15 +20,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from nearpair.llm.tables import column, packed_rows, written
 from nearpair.llm.words import mix
 
 FEATURES = 4096
 PER_LANGUAGE = 1000  # bound of the training sample
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 _ITERATIONS = 150
 _DECAY = 1e-4
@@ -186,39 +188,53 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Decider
     return Decider(groups, found)
 
 
+def _judged(batches: Iterator[pa.RecordBatch], decide: Decider | None, text_col: str) -> Iterator[tuple]:
+    """Slices of the batches (`_row`) with the language and score of each row's text."""
+    for batch in batches:
+        whole = batch.column("_row")
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            texts = [t or "" for t in pc.struct_field(whole.slice(low, 256), [text_col]).cast(pa.string()).to_pylist()]
+            for a, b in _groups(texts):
+                names, scores = [UNKNOWN] * (b - a), np.zeros(b - a)
+                if decide is not None:
+                    x, has = features(texts[a:b])
+                    found, p = decide(x)
+                    names = [n if h else UNKNOWN for n, h in zip(found, has)]
+                    scores = np.where(has, p, 0.0)
+                yield part.slice(a, b - a), names, scores
+
+
 def predict_languages(docs: DataFrame, decider: Decider | None, text_col: str = "text") -> DataFrame:
     """`docs` with `lang_pred` and `score` (0 to 1) instead of columns of these names.
 
     The language is `und`, with score 0, where the text is null or has no letter, or where no
     language was learned. Only the text is looked at.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(decider)
+    model = docs.sparkSession.sparkContext.broadcast(decider)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decide = model.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            for a, b in _groups(texts):
-                names, scores = [UNKNOWN] * (b - a), np.zeros(b - a)
-                if decide is not None:
-                    x, has = features(texts[a:b])
-                    found, p = decide(x)
-                    names = [n if h else UNKNOWN for n, h in zip(found, has)]
-                    scores = np.where(has, p, 0.0)
-                rest = batch.slice(a, b - a).drop_columns(["_text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest.schema.names, "lang_pred", "score"])
+        for rows, names, scores in _judged(batches, model.value, text_col):
+            columns = [rows.column("_row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "lang_pred", "score"])
 
-    kept = docs.select(*[column(c) for c in docs.columns if c not in ("lang_pred", "score")])
-    rows = packed_rows(kept, _text=column(text_col).cast("string"))
-    schema = rows.select("_row").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema).select("_row.*", "lang_pred", "score")
+    rows = packed_rows(docs)
+    schema = StructType([*rows.schema.fields]).add("lang_pred", "string").add("score", "double")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return rows.mapInArrow(run, schema).select(*kept, "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, decider: Decider | None, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose language is not `und`, with the columns of `docs`."""
-    rows = packed_rows(docs, _t=column(text_col))
-    return predict_languages(rows, decider, "_t").filter(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    """The rows of `docs` whose language is not `und`, with the columns of `docs`. A text passes
+    through Python once, in its row."""
+    model = docs.sparkSession.sparkContext.broadcast(decider)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, names, _ in _judged(batches, model.value, text_col):
+            yield rows.filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+    rows = packed_rows(docs)
+    return rows.mapInArrow(run, rows.schema).select("_row.*")
 
 
 def training_rows(docs: DataFrame, learns: Column, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
