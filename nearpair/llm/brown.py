@@ -1,17 +1,17 @@
 """Scores texts by a Brown class-based bigram model trained on the corpus itself.
 
-Words are counted over all training texts. The most frequent words are put into classes by
-exchange clustering: in each round every word moves to the class under which the bigrams it
-takes part in are most likely, given the classes of all others, and the class statistics are
-counted anew. All other words share classes by their shape (length, bytes beyond ASCII); the
-end of a text is a class of its own and the context of a text's first word.
+Words are counted over all training texts. Every word with LEAST or more occurrences is put into
+a class by exchange clustering: in each round every word moves to the class under which the
+bigrams it takes part in are most likely, given the classes of all others, and the class
+statistics are counted anew. Rarer words share classes by their shape (length, bytes beyond
+ASCII); the end of a text is a class of its own and the context of a text's first word.
 
     P(w after v) = P(class(w) | class(v)) * P(w | class(w))
 
 Transitions are smoothed towards class frequencies; a word of a shape class has one count added,
-so unseen words keep some mass. Vocabulary, bigrams and scores are Spark tables; only the model
-of bounded size (HEAD counts, CLUSTERED words, class matrices) goes through the driver. Counts of
-words beyond HEAD reach the texts by a join.
+so unseen words keep some mass. Vocabulary, bigrams, classes of words and scores are Spark
+tables, and a round joins them; only the class matrices and what is known of the HEAD most
+frequent words go through the driver. Counts and classes of other words reach the texts by a join.
 """
 
 from __future__ import annotations
@@ -25,16 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.llm.tables import written
-from nearpair.llm.words import Words, chunks
+from nearpair.llm.words import Words, chunks, mix
 
 HEAD = 1 << 17  # most frequent words whose counts every task holds
-CLUSTERED = 2048  # most frequent words that get a class by exchange
+LEAST = 5  # occurrences from which a word gets a class by exchange
 CLASSES = 64
 ROUNDS = 8
 PULL = 50.0  # weight of the class frequencies in a transition
 _SHAPES = 16
+_PAIR = 0x9E3779B97F4A7C15
 _END = np.uint64(0x5EED0FE2D0FAD0C5)  # stands for the end of a text
 _FLUSH = 1 << 21  # tokens counted before they are handed on
+_SPECIAL = 1 << 19  # symbol of the first shape; those of head words, their ranks, are below
+_LATE = 1 << 20  # set in the symbols of words beyond the head, otherwise their hashes
+_BLOCK = 1 << 12  # words moved at once, about
 
 
 def _shape(words: Words) -> np.ndarray:
@@ -96,33 +100,40 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def _symbols(lookup: Lookup, words: Words, texts: int, clustered: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol of each token, ends included, and that before it. Clustered words are
-    0..clustered - 1, then come the shapes, then the end."""
-    end = clustered + _SHAPES
-    at = lookup(words.hashes)
-    own = np.where((at >= 0) & (at < clustered), at, clustered + _shape(words))
-    symbols = np.full(len(own) + texts, end)
+def _ordered(words: Words, texts: int, own: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """`own` of each token, ends included, and that before it."""
+    symbols = np.full(len(own) + texts, end, own.dtype)
     symbols[np.arange(len(own)) + words.doc] = own
-    return symbols, np.concatenate([[end], symbols[:-1]]).astype(np.int64)
+    return symbols, np.concatenate([np.full(1, end, own.dtype), symbols[:-1]])
 
 
-def _bigrams(heads, clustered: int):
+def _bigrams(heads, classed: np.ndarray, late: bool):
+    """Counts of symbol pairs. Words beyond the head (`heads`, of which those in `classed` get
+    classes) have symbols of their own if any of them may get a class, else that of their shape."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, span = Lookup(heads.value[:clustered]), clustered + _SHAPES + 1
-        found: list[np.ndarray] = []
+        lookup = Lookup(heads.value)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            code, count = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array((code // span).astype(np.int32)), pa.array((code % span).astype(np.int32)), pa.array(count.astype(np.int64))],
-                ["a", "b", "n"],
-            )
+            a, b = (np.concatenate(x) for x in zip(*found))
+            key = mix(a.view(np.uint64) * np.uint64(_PAIR) + b.view(np.uint64))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first, count = order[at], np.diff(np.append(at, len(key)))
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(count.astype(np.int64))], ["a", "b", "n"])
 
         for rows, words in chunks(batches):
-            symbols, before = _symbols(lookup, words, rows.num_rows, clustered)
-            found.append(before * span + symbols)
+            at = lookup(words.hashes)
+            own = _SPECIAL + _shape(words)
+            if len(classed):
+                own = np.where((at >= 0) & classed[np.maximum(at, 0)], at, own)
+            if late:
+                own = np.where(at < 0, words.hashes.view(np.int64) | _LATE, own)
+            symbols, before = _ordered(words, rows.num_rows, own.astype(np.int64), _SPECIAL + _SHAPES)
+            found.append((before, symbols))
             size += len(symbols)
             if size >= _FLUSH:
                 yield out()
@@ -133,96 +144,173 @@ def _bigrams(heads, clustered: int):
     return run
 
 
-def exchange_classes(bigrams: DataFrame, words: int, classes: int, rounds: int) -> np.ndarray:
-    """The class of each symbol: words 0..words - 1 by exchange, shapes and end one each.
+def _told(bigrams: DataFrame, late: DataFrame) -> DataFrame:
+    """Bigrams in which words of `late` (`symbol, final`) have their final symbols."""
+    for side in "ab":
+        open_ = F.col(side).bitwiseAND(F.lit(_LATE)) != 0
+        named = bigrams.filter(open_).join(late.withColumnRenamed("symbol", side), side).withColumn(side, F.col("final")).select("a", "b", "n")
+        bigrams = bigrams.filter(~open_).unionByName(named)
+    return bigrams
+
+
+def _classes(of: DataFrame, classes: int) -> DataFrame:
+    """`symbol, c, moved` of the words, and those of shapes and the end; written, so that its size is known."""
+    fixed = pa.table({"symbol": np.arange(_SPECIAL, _SPECIAL + _SHAPES + 1), "c": np.arange(classes, classes + _SHAPES + 1, dtype=np.int32)})
+    fixed = of.sparkSession.createDataFrame(fixed).withColumn("moved", F.lit(False))
+    return written(of.unionByName(fixed), "classes")
+
+
+def _with_classes(bigrams: DataFrame, of: DataFrame) -> DataFrame:
+    """Bigrams with the classes `ca, cb` of their symbols."""
+    a, b = (of.select(F.col("symbol").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    return bigrams.join(a, "a").join(b, "b")
+
+
+def _class_pairs(placed: DataFrame, span: int) -> np.ndarray:
+    """[c, c2]: how often a symbol of class c precedes one of c2."""
+    rows = placed.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
+    pair = np.zeros((span, span))
+    pair[rows["ca"].to_numpy(), rows["cb"].to_numpy()] = rows["n"].to_numpy()
+    return pair
+
+
+def _moved(log_next: np.ndarray, total: np.ndarray, classes: int):
+    """New classes of a block of words, from how often they follow and precede each class."""
+    span = len(log_next)
+
+    def run(table: pa.Table) -> pa.Table:
+        symbol, own, c, n = (table.column(x).to_numpy() for x in ("w", "own", "c", "n"))
+        words, at = np.unique(symbol, return_inverse=True)
+        near = np.bincount(at * (2 * span) + c, n, minlength=len(words) * 2 * span).reshape(len(words), 2 * span)
+        of = np.zeros(len(words), np.int64)
+        of[at] = own
+        after, ahead = near[:, :span], near[:, span:]
+        count = after.sum(axis=1)
+        score = after @ log_next[:, :classes] + ahead @ log_next[:classes].T
+        inside = of[:, None] == np.arange(classes)
+        score -= count[:, None] * np.log(np.maximum(total[:classes] + np.where(inside, 0, count[:, None]), 1))
+        return pa.table({"symbol": words, "c": score.argmax(axis=1).astype(np.int32), "moved": score.argmax(axis=1) != of})
+
+    return run
 
-    `bigrams` (`a, b, n`) has at most (words + shapes + 1) ** 2 rows. A round collects, for each
-    symbol, how often it follows and precedes each class.
+
+def exchange_classes(bigrams: DataFrame, start: DataFrame, words: int, classes: int, rounds: int) -> DataFrame:
+    """`symbol, c`: the classes of the words in `start` (of the same columns) after the rounds, with those fixed.
+
+    `bigrams` are `a, b, n`. Shapes and the end of a text have classes of their own. A round
+    joins the bigrams with the classes and counts how often each word follows and precedes each class.
     """
-    spark = bigrams.sparkSession
-    fixed = _SHAPES + 1
-    of = np.concatenate([np.arange(words) % classes, classes + np.arange(fixed)])
-    span = classes + fixed
+    of, span = _classes(start.withColumn("moved", F.lit(True)), classes), classes + _SHAPES + 1
+    blocks = max(256, words // _BLOCK)
     for _ in range(rounds if words > 1 else 0):
-        known = F.broadcast(spark.createDataFrame(pa.table({"s": np.arange(len(of), dtype=np.int32), "c": of.astype(np.int32)})))
-        sides = []
-        for own, other in (("b", "a"), ("a", "b")):
-            near = bigrams.join(known, F.col(other) == F.col("s")).groupBy(F.col(own).alias("w"), "c").agg(F.sum("n").alias("n"))
-            near = near.toArrow()
-            table = np.zeros((len(of), span))
-            table[near["w"].to_numpy(), near["c"].to_numpy()] = near["n"].to_numpy()
-            sides.append(table)
-        after, ahead = sides  # [w, c]: w follows c; w precedes c
-        pair = np.zeros((span, span))
-        np.add.at(pair, of, ahead)  # [c, c2]: a word of c precedes one of c2
-        total = pair.sum(axis=1)
+        placed = _with_classes(bigrams, of)
+        pair = _class_pairs(placed, span)
         smooth = pair + 0.1
         log_next = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        count = after.sum(axis=1)[:words]
-        score = after[:words] @ log_next[:, :classes] + ahead[:words] @ log_next[:classes].T
-        inside = of[:words, None] == np.arange(classes)
-        score -= count[:, None] * np.log(np.maximum(total[:classes] + np.where(inside, 0, count[:, None]), 1))
-        moved = np.where(count > 0, score.argmax(axis=1), of[:words])
-        if (moved == of[:words]).all():
+        sides = F.array(
+            F.struct(F.col("b").alias("w"), F.col("cb").alias("own"), F.col("ca").alias("c")),
+            F.struct(F.col("a").alias("w"), F.col("ca").alias("own"), (F.col("cb") + span).alias("c")),
+        )
+        near = placed.select(F.explode(sides).alias("s"), "n").select("s.*", "n").filter(F.col("own") < classes)
+        near = near.groupBy("w", "own", "c").agg(F.sum("n").alias("n"))
+        near = near.groupBy(F.pmod(F.xxhash64("w"), F.lit(blocks)).alias("block"))
+        of = _classes(near.applyInArrow(_moved(log_next, pair.sum(axis=1), classes), "symbol bigint, c int, moved boolean"), classes)
+        if of.filter("moved").isEmpty():
             break
-        of[:words] = moved
-    return of
+    return of.select("symbol", "c")
 
 
-def _transitions(bigrams: DataFrame, of: np.ndarray, span: int) -> np.ndarray:
+def _transitions(pair: np.ndarray) -> np.ndarray:
     """log10 P(class | class before)."""
-    known = bigrams.sparkSession.createDataFrame(pa.table({"s": np.arange(len(of), dtype=np.int32), "c": of.astype(np.int32)}))
-    a, b = (F.broadcast(known.select(F.col("s").alias(x), F.col("c").alias(f"c{x}"))) for x in "ab")
-    rows = bigrams.join(a, "a").join(b, "b").groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
-    pair = np.zeros((span, span))
-    pair[rows["ca"].to_numpy(), rows["cb"].to_numpy()] = rows["n"].to_numpy()
-    base = (pair.sum(axis=0) + 1) / (pair.sum() + span)
+    base = (pair.sum(axis=0) + 1) / (pair.sum() + len(pair))
     return np.log10((pair + PULL * base) / (pair.sum(axis=1, keepdims=True) + PULL))
 
 
-_SCORED = "row bigint, id bigint, n_tokens bigint, known bigint, base double, model double, tail array<bigint>"
+_SCORED = (
+    "row bigint, id bigint, n_tokens bigint, known bigint, base double, model double, tail array<bigint>, "
+    "turns array<struct<a: bigint, ca: int, b: bigint, cb: int>>"
+)
+
+
+def _lists(values: pa.Array, doc: np.ndarray, texts: int) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=texts))])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
 
 
-def _scores(heads, model, clustered: int):
+def _scores(heads, model, classes: int, late: bool):
+    """tail: words beyond the head. turns: if those may have classes (`late`), the bigrams with
+    one, with the classes that were taken; a, b are null for words of the head."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(heads.value)
         counts, of, emit, rare, step, end_count = model.value
         row = TaskContext.get().partitionId() << 33
         for rows, words in chunks(batches):
             texts = rows.num_rows
-            symbols, before = _symbols(lookup, words, texts, clustered)
+            at, shape = lookup(words.hashes), _shape(words)
+            have, place = at >= 0, np.maximum(at, 0)
+            known = len(counts) > 0
+            own, before = _ordered(words, texts, np.where(have, of[place], classes + shape) if known else classes + shape, classes + _SHAPES)
             doc = np.repeat(np.arange(texts), np.diff(words.bounds) + 1)
-            path = np.bincount(doc, step[of[before], of[symbols]], minlength=texts)
-            at = lookup(words.hashes)
-            have = at >= 0
-            log_count = np.where(have, np.log10(counts[np.maximum(at, 0)] + 1.0), 0.0) if len(counts) else np.zeros(len(at))
-            own = np.where(have & (at < clustered), emit[np.clip(at, 0, len(emit) - 1)], log_count - rare[_shape(words)])
+            path = np.bincount(doc, step[before, own], minlength=texts)
+            log_count = np.where(have, np.log10(counts[place] + 1.0), 0.0) if known else np.zeros(len(at))
+            word = np.where(have, emit[place], -rare[shape]) if known else -rare[shape]
             base = np.bincount(words.doc, log_count, minlength=texts) + np.log10(end_count + 1.0)
-            model_part = path + np.bincount(words.doc, own, minlength=texts)
-            known = np.bincount(words.doc, have, minlength=texts).astype(np.int64) + (end_count > 0)
+            model_part = path + np.bincount(words.doc, word, minlength=texts)
+            n_known = np.bincount(words.doc, have, minlength=texts).astype(np.int64) + (end_count > 0)
             tail = ~have
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(words.doc[tail], minlength=texts))])
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(words.hashes[tail].view(np.int64)))
+            h = words.hashes.view(np.int64)
+            b_open, a_open = _ordered(words, texts, tail & late, False)
+            b, a = _ordered(words, texts, h, 0)
+            turn = a_open | b_open
+            turns = pa.StructArray.from_arrays(
+                [
+                    pa.array(a[turn], mask=~a_open[turn]),
+                    pa.array(before[turn].astype(np.int32)),
+                    pa.array(b[turn], mask=~b_open[turn]),
+                    pa.array(own[turn].astype(np.int32)),
+                ],
+                ["a", "ca", "b", "cb"],
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(texts)),
                     rows.column("id"),
                     pa.array(np.diff(words.bounds) + 1),
-                    pa.array(known),
+                    pa.array(n_known),
                     pa.array(base),
                     pa.array(model_part),
-                    lists,
+                    _lists(pa.array(h[tail]), words.doc[tail], texts),
+                    _lists(turns, doc[turn], texts),
                 ],
-                ["row", "id", "n_tokens", "known", "base", "model", "tail"],
+                ["row", "id", "n_tokens", "known", "base", "model", "tail", "turns"],
             )
             row += texts
 
     return run
 
 
+def _turned(scored: DataFrame, late: DataFrame, step: np.ndarray) -> DataFrame:
+    """`row, turned`: what the classes of words beyond the head (`word, c`) add to transitions."""
+    turns = scored.select("row", F.explode("turns").alias("t")).select("row", "t.*")
+    for side, other in ("ab", "ba"):
+        # a word of the head gets a key that spreads and finds nothing
+        key = F.coalesce(F.col(side), F.xxhash64("row", other))
+        known = late.select(F.col("word").alias(f"w{side}"), F.col("c").alias(f"new_{side}"))
+        turns = turns.withColumn(f"k{side}", key).join(known, F.col(f"k{side}") == F.col(f"w{side}"), "left")
+        turns = turns.withColumn(f"new_{side}", F.when(F.col(side).isNotNull(), F.col(f"new_{side}"))).drop(f"k{side}", f"w{side}")
+    turns = turns.filter("new_a IS NOT NULL OR new_b IS NOT NULL")
+    turns = turns.select("row", "ca", "cb", F.coalesce("new_a", "ca").alias("na"), F.coalesce("new_b", "cb").alias("nb"))
+    i, j = np.indices(step.shape).astype(np.int32)
+    table = scored.sparkSession.createDataFrame(pa.table({"i": i.ravel(), "j": j.ravel(), "s": step.ravel()}))
+    old, new = (F.broadcast(table.toDF(f"{x}a", f"{x}b", s)) for x, s in (("c", "old"), ("n", "new")))
+    turns = turns.join(old, ["ca", "cb"]).join(new, ["na", "nb"])
+    return turns.groupBy("row").agg(F.sum(F.col("new") - F.col("old")).alias("turned"))
+
+
 def class_model_scores(
     docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text",
-    head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS,
+    head: int = HEAD, clustered: int | None = None, classes: int = CLASSES, rounds: int = ROUNDS, least: int = LEAST,
 ) -> DataFrame:
     """`id, n_tokens, n_known, train_tokens, base_score, score, perplexity` for every row of `docs`.
 
@@ -230,7 +318,10 @@ def class_model_scores(
     log10 probability by single words with one count added (and one word for all unseen); score:
     that of the class model. A null or empty text has one token, its end. Repeated rows count and
     are scored each for itself; ids may repeat or be null. Without training rows every count is
-    0. Other columns are read only by `trains`. Words are compared as 64-bit hashes.
+    0. Other columns are read only by `trains`. Words are compared as 64-bit hashes. Words with
+    `least` or more occurrences get classes by exchange; where `clustered` is given, only that
+    many of them, the most frequent (at most `head`). The result does not depend on `head`, the
+    number of words that every task holds (at most 2 ** 19).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
@@ -243,30 +334,65 @@ def class_model_scores(
     top = words.filter("shape >= 0").orderBy(F.desc("n"), "word").limit(head).toArrow()
     hashes = top["word"].to_numpy().view(np.uint64)
     counts = top["n"].to_numpy().astype(np.float64)
-    clustered = min(clustered, len(hashes))
+    classed = counts >= least
+    if clustered is not None:
+        classed &= np.arange(len(counts)) < clustered
+    late = clustered is None and len(counts) == head and bool(classed.all())  # words beyond the head may get classes
     heads = spark.sparkContext.broadcast(hashes)
 
-    bigrams = training.mapInArrow(_bigrams(heads, clustered), "a int, b int, n bigint")
+    ranks = spark.createDataFrame(pa.table({"word": top["word"], "rank": np.arange(len(counts)), "classed": classed}))
+    named = words.filter("shape >= 0").join(F.broadcast(ranks), "word", "left")
+    beyond = F.col("rank").isNull()
+    named = named.select(
+        "word", "shape", "n", beyond.alias("beyond"),
+        F.coalesce("rank", F.col("word").bitwiseOR(F.lit(_LATE))).alias("symbol"),
+        F.coalesce("classed", F.lit(late) & (F.col("n") >= least)).alias("classed"),
+    )
+    start = written(named.filter("classed").select("symbol", "word", "n", F.pmod("word", F.lit(classes)).cast("int").alias("c")), "start")
+
+    bigrams = training.mapInArrow(_bigrams(heads, classed, late), "a bigint, b bigint, n bigint")
     bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
-    of = exchange_classes(bigrams, clustered, classes, rounds)
-    step = _transitions(bigrams, of, classes + _SHAPES + 1)
-    in_class = np.bincount(of[:clustered], counts[:clustered], minlength=classes)
-    emit = np.log10(counts[:clustered] / in_class[of[:clustered]]) if clustered else np.zeros(1)
-    shapes = words.filter("shape >= 0").groupBy("shape").agg(F.sum("n"), F.count(F.lit(1))).collect()
+    if late:
+        final = F.when(F.col("classed"), F.col("symbol")).otherwise(F.col("shape") + F.lit(_SPECIAL)).cast("bigint")
+        bigrams = _told(bigrams, named.filter("beyond").select("symbol", final.alias("final")))
+        bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
+    of = exchange_classes(bigrams, start.select("symbol", "c"), start.count(), classes, rounds)
+    step = _transitions(_class_pairs(_with_classes(bigrams, of), classes + _SHAPES + 1))
+    placed = start.drop("c").join(of, "symbol")
+    in_class = np.ones(classes)
+    for c, tokens in placed.groupBy("c").agg(F.sum("n")).collect():
+        in_class[c] = tokens
     mass = np.ones(_SHAPES)
-    for shape, tokens, kinds in shapes:
+    for shape, tokens, kinds in named.filter("NOT classed").groupBy("shape").agg(F.sum("n"), F.count(F.lit(1))).collect():
         mass[shape] += tokens + kinds
-    own_shape = top["shape"].to_numpy()[:clustered]
-    mass -= np.bincount(own_shape, counts[:clustered] + 1, minlength=_SHAPES)
-    model = spark.sparkContext.broadcast((counts, of, emit, np.log10(mass), step, float(ends)))
-
-    scored = written(rows.select("id", "text").mapInArrow(_scores(heads, model, clustered), _SCORED), "scored")
-    # counts of the other words; those never seen add nothing
-    tail = scored.select("row", F.explode("tail").alias("word")).join(words.select("word", "n"), "word")
-    tail = tail.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("seen"))
-    out = scored.drop("tail").join(tail, "row", "left")
+    rare = np.log10(mass)
+    own = classes + top["shape"].to_numpy().astype(np.int64)
+    emit = np.log10(counts + 1) - rare[own - classes]
+    front = of.filter(F.col("symbol").between(0, _SPECIAL - 1)).toArrow()
+    at = front["symbol"].to_numpy()
+    own[at] = front["c"].to_numpy()
+    emit[at] = np.log10(counts[at] / in_class[own[at]])
+    model = spark.sparkContext.broadcast((counts, own, emit, rare, step, float(ends)))
+
+    scored = written(rows.select("id", "text").mapInArrow(_scores(heads, model, classes, late), _SCORED), "scored")
+    # counts and classes of the other words; those never seen add nothing
+    others = named.filter("beyond").select("word", "shape", "n")
+    added = F.log10(F.col("n") + 1)
+    if late:
+        later = written(placed.filter(F.col("symbol").bitwiseAND(F.lit(_LATE)) != 0).select("word", "c"), "later")
+        others = written(others.join(later, "word", "left"), "others")
+        table = [F.array(*[F.lit(float(x)) for x in values]) for values in (rare, np.log10(in_class))]
+        in_model = F.coalesce(F.log10("n") + F.get(table[0], F.col("shape")) - F.get(table[1], F.col("c")), added)
+    else:
+        in_model = added
+    tail = scored.select("row", F.explode("tail").alias("word")).join(others, "word")
+    tail = tail.groupBy("row").agg(F.sum(added).alias("more"), F.sum(in_model).alias("more_model"), F.count(F.lit(1)).alias("seen"))
+    out = scored.drop("tail", "turns").join(tail, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    score = F.col("model") + more
+    score = F.col("model") + F.coalesce("more_model", F.lit(0.0))
+    if late:
+        out = out.join(_turned(scored, later, step), "row", "left")
+        score = score + F.coalesce("turned", F.lit(0.0))
     return out.select(
         "id",
         "n_tokens",
