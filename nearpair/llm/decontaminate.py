@@ -8,9 +8,10 @@ with one power step, gives the latent space: each pass sums A'(A X) over all cel
 rows of A are the corpus' cells and the items, the items weighed so that both halves have the
 same mass.
 
-Search: every window of as many cells as the longest item may stretch over is compared with every item by cosine in the latent space, and
-by how much of the item's vector it covers. A window above both thresholds is only a candidate: the longest common subsequence of the item and
-the words around the window decides, and where it is too short for a copy but long enough for a
+Search: items are grouped by length, in powers of two, and every window of as many cells as the
+longest of a group may stretch over is compared with the group's items in the latent space, by how
+much of the item's vector it covers: whatever else is in the window takes nothing from that. A window
+above the threshold is only a candidate: the longest common subsequence of the item and the words around the window decides, and where it is too short for a copy but long enough for a
 paraphrase, the item's answer must be there as well.
 
 The benchmark is worked through in blocks of a bounded number of items and terms. A space of fewer
@@ -38,7 +39,7 @@ RANK = 256
 OVERSAMPLE = 16
 BLOCK_ITEMS = 200  # fewer than the rank, so that the space can tell a block's items apart
 BLOCK_TERMS = 1 << 14  # words of the items in a block, about
-COSINE = 0.2  # of a candidate's window with the item
+COSINE = 0.2  # of a candidate's window with the item, times the window's length over the item's
 COVERED = 0.45  # least share of the item's own length that the window has in its direction
 COPY = 0.75  # least share of the item's words in order: a copy
 PARAPHRASE = 0.55  # the same with the answer there
@@ -283,8 +284,12 @@ def _search(shared, limits: tuple, cosine: float):
         target = np.stack([weights[w] @ basis[w] for w in items.words])
         size = np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
         target /= size
+        least = max(COVERED, cosine) * size[:, 0]
         stretch = [len(w) + len(w) // 2 + 2 for w in items.words]
-        width = -(-max(stretch) // CELL) + 1  # cells; a stretch that begins in the first fits
+        groups = []  # items and cells of their windows; a stretch that begins in the first fits
+        for power in sorted({len(w).bit_length() for w in items.words}):
+            members = np.flatnonzero([len(w).bit_length() == power for w in items.words])
+            groups.append((members, -(-max(stretch[i] for i in members) // CELL) + 1))
         for ids, doc, place, term in _steps(batches):
             out: dict[tuple, tuple] = {}
             starts = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -294,21 +299,20 @@ def _search(shared, limits: tuple, cosine: float):
             at, cell_doc, cell = _cells(doc[keep], place[keep])
             sums = np.zeros((len(at) + 1, basis.shape[1]))
             np.cumsum(_vectors(weights, basis, term[keep], at), axis=0, out=sums[1:])
-            code = cell_doc * (int(cell.max()) + width + 1) + cell
-            window = (sums[np.searchsorted(code, code + width)] - sums[:-1]).astype(np.float32)
-            near = window @ target.T
-            covered = near >= COVERED * size.T
-            near /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-            for w, item in zip(*np.nonzero((near >= cosine) & covered)):
-                d = cell_doc[w]
-                key = (int(d), int(item))
-                if key in out and out[key][0] == 1:
-                    continue
-                mine = slice(starts[d], starts[d + 1])
-                low = int(cell[w]) * CELL
-                found = judge(int(item), place[mine], term[mine], max(0, low - stretch[item]), low + CELL + stretch[item])
-                if found[0]:
-                    out[key] = max(out.get(key, (0.0,)), (*found[1:], float(near[w, item])))
+            code = cell_doc * (int(cell.max()) + max(width for _, width in groups) + 1) + cell
+            for members, width in groups:
+                window = (sums[np.searchsorted(code, code + width)] - sums[:-1]).astype(np.float32)
+                near = window @ target[members].T
+                for w, m in zip(*np.nonzero(near >= least[members])):
+                    d, item = int(cell_doc[w]), int(members[m])
+                    if out.get((d, item), (0.0,))[0] == 1:
+                        continue
+                    mine = slice(starts[d], starts[d + 1])
+                    low = int(cell[w]) * CELL
+                    found = judge(item, place[mine], term[mine], max(0, low - stretch[item]), low + CELL + stretch[item])
+                    if found[0]:
+                        angle = float(near[w, m] / max(np.linalg.norm(window[w]), 1e-9))
+                        out[d, item] = max(out.get((d, item), (0.0,)), (*found[1:], angle))
             if out:
                 rows = [(ids[d], items.ids[i], len(items.words[i]), *v) for (d, i), v in out.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["id", "item_id", "item_words", "share", "answer_share", "place", "cosine"])
