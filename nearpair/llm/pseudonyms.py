@@ -8,7 +8,7 @@ punctuation, and with the key the permutation can be undone.
 | kind | validated by | permuted | kept |
 | --- | --- | --- | --- |
 | email | a domain with a dot | letters a-z, A-Z and digits of the local part, class by class | the rest |
-| card | 13-19 digits, Luhn | all digits but the last | separators; the last digit is the new check digit |
+| card | 13-19 digits in whole groups, Luhn; usual groupings first | all digits but the last | separators; the last digit is the new check digit |
 | iban | mod 97 | digits after the check digits | country, letters; new check digits |
 | ip | four numbers up to 255 | the 32 bits | the dots |
 | ssn | area, group and serial in use | area, group, serial among those in use | dashes |
@@ -30,15 +30,26 @@ ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 
 _NAME = r"[\p{L}\p{N}._%+-]"
+# length of an IBAN by country
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![\p{{L}}\p{{N}}])" for n, c in _LENGTHS.items())
 _FORMS = {
     "email": rf"(?<!{_NAME}){_NAME}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_OF_COUNTRY}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\p{L}\p{N}]|[./-]\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}]|-\d)",
-    "card": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}]|-\d)",
 }
+# groups of digits, up to where another form begins; `_cards` looks for the cards among them
+_OTHER = "|".join(_FORMS[k] for k in ("ip", "date", "ssn", "phone")).replace(r"([./])\d{1,2}\1", r"[./]\d{1,2}[./]")
+_FORMS["card"] = rf"(?<![\p{{L}}\p{{N}}-])\d(?:(?:[ -](?!{_OTHER}))?\d){{12,}}(?![\p{{L}}\p{{N}}]|-\d)"
+_USUAL = "^(4,4,4,4|4,6,5|4,6,4|1[3-9])$"  # digits in a card's groups
 FORM = "|".join(_FORMS.values())
 _CYCLE = 146_097  # days in 400 years, 189 * 773
 _START = "1600-01-01"
@@ -112,12 +123,66 @@ def _luhn(digits: Column) -> Column:
 def _card(key: str, value: Column) -> Column:
     def pseudonym(digits: Column) -> Column:
         body = digits.substr(F.lit(1), F.length(digits) - 1)
-        new = _let(_digits(key, "card", body), lambda b: F.concat(b, _luhn(b)))
-        return F.when(digits.substr(F.length(digits), F.lit(1)) == _luhn(body), _fit(value, new))
+        return _fit(value, _let(_digits(key, "card", body), lambda b: F.concat(b, _luhn(b))))
 
     return _let(F.regexp_replace(value, "[^0-9]", ""), pseudonym)
 
 
+def _cards(key: str, value: Column) -> Column:
+    """`s, n`: the digit groups of the value with pseudonyms of the cards in it, and their number.
+
+    A card is a stretch of whole groups. From left to right the longest is taken, unless a
+    card in one of the usual groupings begins in it."""
+
+    def is_card(digits: Column) -> Column:
+        last = F.length(digits)
+        right = digits.substr(last, F.lit(1)) == _luhn(digits.substr(F.lit(1), last - 1))
+        return F.when(last.between(13, 19), right).otherwise(F.lit(False))
+
+    def replaced(x: Column) -> Column:
+        groups, gaps = x["groups"], x["gaps"]
+        places = F.sequence(F.lit(0), F.size(groups) - 1)
+
+        def ends(i: Column) -> Column:
+            last = F.least(i + 18, F.size(groups) - 1)
+            return F.filter(F.sequence(i, last), lambda j: _let(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), is_card))
+
+        def usual(i: Column, found: Column) -> Column:
+            def form(j: Column) -> Column:
+                sizes = F.transform(F.slice(groups, i + 1, j - i + 1), lambda g: F.length(g).cast("string"))
+                return F.array_join(sizes, ",").rlike(_USUAL)
+
+            return F.coalesce(F.get(F.filter(found, form), F.lit(0)), F.lit(-1))
+
+        def scanned(spans: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                def free(j: Column) -> Column:
+                    return ~F.exists(F.slice(spans, i + 2, j - i), lambda s: s["usual"] >= 0)
+
+                own = F.get(spans, i)
+                longest = F.coalesce(F.array_max(F.filter(own["ends"], free)), F.lit(-1))
+
+                def taken(j: Column) -> Column:
+                    parts = F.transform(F.sequence(i, F.greatest(i, j)), lambda k: F.concat(F.when(k > i, F.get(gaps, k)).otherwise(F.lit("")), F.get(groups, k)))
+                    text = _let(F.array_join(parts, ""), lambda t: F.when(j >= 0, _card(key, t)).otherwise(t))
+                    return F.struct(
+                        F.concat(acc["s"], F.get(gaps, i), text).alias("s"),
+                        (acc["n"] + F.when(j >= 0, 1).otherwise(0)).alias("n"),
+                        F.when(j >= 0, j + 1).otherwise(i + 1).alias("next"),
+                    )
+
+                best = F.when(own["usual"] >= 0, own["usual"]).otherwise(longest)
+                return F.when(i < acc["next"], acc).otherwise(_let(best, taken))
+
+            start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(0).alias("next"))
+            return F.aggregate(places, start, step)
+
+        spans = F.transform(places, lambda i: _let(ends(i), lambda e: F.struct(e.alias("ends"), usual(i, e).alias("usual"))))
+        return _let(spans, scanned)
+
+    return _let(F.struct(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)).alias("groups"), F.split(value, "[0-9]+").alias("gaps")), replaced)
+
+
 def _mod97(text: Column) -> Column:
     """Remainder of the number that letters (as 10..35) and digits spell."""
 
@@ -129,14 +194,24 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(key: str, value: Column) -> Column:
-    def pseudonym(plain: Column) -> Column:
+    """Of a value that is not valid, its longest valid part up to a space is."""
+
+    def pseudonym(text: Column, plain: Column) -> Column:
         country, body = plain.substr(F.lit(1), F.lit(2)), plain.substr(F.lit(5), F.length(plain))
         new_body = _fit(body, _digits(key, "iban", F.regexp_replace(body, "[^0-9]", "")))
         check = _let(new_body, lambda b: F.concat(_padded(98 - _mod97(F.concat(b, country, F.lit("00"))), 2), F.regexp_replace(b, "[^0-9]", "")))
-        valid = _mod97(F.concat(body, plain.substr(F.lit(1), F.lit(4)))) == 1
-        return F.when(valid, F.when(body.rlike("[0-9]"), _fit(value, check)).otherwise(value))
+        return F.when(body.rlike("[0-9]"), _fit(text, check)).otherwise(text)
+
+    def valid(text: Column) -> Column:
+        plain = F.regexp_replace(text, " ", "")
+        return (F.length(plain) >= 12) & (_mod97(F.concat(plain.substr(F.lit(5), F.length(plain)), plain.substr(F.lit(1), F.lit(4)))) == 1)
+
+    def cut(words: Column) -> Column:
+        parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        found = F.get(F.filter(parts, valid), F.lit(0))
+        return _let(found, lambda t: F.concat(pseudonym(t, F.regexp_replace(t, " ", "")), value.substr(F.length(t) + 1, F.length(value))))
 
-    return _let(F.regexp_replace(value, " ", ""), pseudonym)
+    return _let(F.split(value, " "), cut)
 
 
 def _ip(key: str, value: Column) -> Column:
@@ -229,7 +304,7 @@ def _email(key: str, value: Column) -> Column:
     return _let(done, lambda x: F.concat(x["l"], x["r"], F.lit("@"), domain))
 
 
-_PSEUDONYMS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_PSEUDONYMS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def _kind(value: Column) -> Column:
@@ -246,13 +321,16 @@ def _kind(value: Column) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """`kind, value` of one found value; kind is null, and the value as it was, if it isn't valid."""
+    """`kind, value, n` of one found value; kind is null, and the value as it was, if nothing in it
+    is valid. n: how many values were in it; several only of cards."""
 
     def named(kind: Column) -> Column:
         new = F.lit(None).cast("string")
-        for name in KINDS:
-            new = F.when(kind == name, _PSEUDONYMS[name](key, value)).otherwise(new)
-        return _let(new, lambda n: F.struct(F.when(n.isNotNull(), kind).alias("kind"), F.coalesce(n, value).alias("value")))
+        for name, replaced in _PSEUDONYMS.items():
+            new = F.when(kind == name, replaced(key, value)).otherwise(new)
+        one = _let(new, lambda x: F.struct(F.when(x.isNotNull(), kind).alias("kind"), F.coalesce(x, value).alias("value"), F.lit(1).alias("n")))
+        cards = _let(_cards(key, value), lambda x: F.struct(F.when(x["n"] > 0, kind).alias("kind"), x["s"].alias("value"), x["n"].alias("n")))
+        return F.when(kind == "card", cards).otherwise(one)
 
     return _let(_kind(value), named)
 
@@ -274,6 +352,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     new_text = F.when(F.size("_found") > 0, whole).otherwise(F.col("_text"))
 
     def count(kind: str) -> Column:
-        return F.coalesce(F.size(F.filter("_new", lambda v: v["kind"] == kind)), F.lit(0)).cast("bigint").alias(f"n_{kind}")
+        found = F.filter("_new", lambda v: v["kind"] == kind)
+        return F.coalesce(F.aggregate(found, F.lit(0), lambda a, v: a + v["n"]), F.lit(0)).cast("bigint").alias(f"n_{kind}")
 
     return rows.select(*[new_text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in kept], *[count(k) for k in KINDS])
