@@ -1,4 +1,5 @@
-"""DuckDB SQL of the operators that SQL can express: the quality rules and the source mix.
+"""DuckDB SQL of the operators that SQL can express: the quality rules, the source mix, archived
+pages, centroid clusters and repaired conversations.
 
 The others rest on trained or random vectors, keyed hashes, a tokenizer or connected components
 of links between all documents; they are tested against brute force.
@@ -108,4 +109,110 @@ decided AS (SELECT *, (whole + CASE WHEN rank <= last THEN 1 ELSE 0 END)::BIGINT
             FROM ranked LEFT JOIN cut USING (k))
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM decided"""
 
-ORACLES = {"op7_quality_rules": QUALITY, "op9_mix_sources": MIX}
+# Base32 takes five bits at a time, out of two hexadecimal digits.
+ARCHIVES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS lead FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (
+           ((strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1) * 16
+            + strpos('0123456789abcdef', substr(h, 5 * i // 4 + 2, 1)) - 1) // (1 << (3 - 5 * i % 4))::BIGINT) % 32)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to, NULL::VARCHAR AS error
+FROM d
+"""
+
+
+def _centroids(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    parts = [f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x
+    FROM embeddings WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x AS c
+    FROM v ORDER BY k LIMIT {k})"""]
+    near = """a{i} AS MATERIALIZED (
+    SELECT r, arg_min(k, d * 1024 + k) AS k, min(d) AS d FROM (
+        SELECT r, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM v, c{i}) GROUP BY r)"""
+    mean = """c{j} AS MATERIALIZED (
+    SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
+        SELECT k, list(floor_mean ORDER BY place) AS c FROM (
+            SELECT k, place, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+            FROM (SELECT a{i}.k, unnest(x) AS e, unnest(range(len(x))) AS place FROM v JOIN a{i} USING (r))
+            GROUP BY k, place) GROUP BY k) m ON m.k = c{i}.k)"""
+    for i in range(rounds):
+        parts += [near.format(i=i), mean.format(i=i, j=i + 1)]
+    parts.append(near.format(i=rounds))
+    return ",\n".join(parts) + f"""
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+CONVERSATIONS = r"""
+WITH RECURSIVE raw AS (
+    SELECT row_number() OVER () AS r, coalesce('=' || conv_id, '') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations),
+hashed AS MATERIALIZED (
+    SELECT *, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+            lambda z, i: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END))) % 20 AS kind
+    FROM raw),
+damaged AS (
+    SELECT r, k, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM hashed WHERE kind <> 0),
+placed AS MATERIALIZED (
+    SELECT k, turn, role, text, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, r, copy) AS i,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM damaged),
+judged AS MATERIALIZED (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           left(role, 1) AS first, lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS previous
+    FROM placed),
+grown(now, mid, inserts, added) AS (VALUES
+    ('', '', '', ''), ('', 'u', 'I', 'user:'), ('', 'a', 'II', 'user:' || chr(10) || 'assistant:'), ('s', 's', '', ''),
+    ('s', 'u', 'I', chr(10) || 'user:'), ('s', 'a', 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'u', '', ''),
+    ('u', 'a', 'I', chr(10) || 'assistant:'), ('a', 'a', '', ''), ('a', 'u', 'I', chr(10) || 'user:')),
+edit(kind, now, mid, inserts, added) AS (SELECT e.kind, g.* FROM grown g, (VALUES ('K'), ('R'), ('D')) e(kind)),
+path AS (
+    SELECT DISTINCT k, 0::BIGINT AS i, '' AS state, 0::BIGINT AS cost, '' AS audit, '' AS kept FROM raw
+    UNION ALL
+    SELECT k, i, state, cost, audit, kept FROM (
+        SELECT p.k, j.i, CASE e.kind WHEN 'D' THEN mid WHEN 'K' THEN first ELSE CASE mid WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+               p.cost + 3 * length(inserts) + CASE e.kind WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+                   + CASE WHEN e.kind <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+               p.audit || inserts || e.kind AS audit,
+               p.kept || added || CASE WHEN e.kind = 'D' THEN '' ELSE
+                   CASE mid WHEN '' THEN '' ELSE chr(10) END
+                   || CASE WHEN e.kind = 'K' THEN role WHEN mid = 'u' THEN 'assistant' ELSE 'user' END || ':' || text END AS kept
+        FROM path p JOIN judged j ON j.k = p.k AND j.i = p.i + 1 JOIN edit e ON e.now = p.state
+        WHERE e.kind = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e.kind = 'R' OR (mid || first) IN ('s', 'u', 'su', 'ua', 'au'))))
+    QUALIFY row_number() OVER (PARTITION BY k, state ORDER BY cost, audit) = 1),
+seen AS (
+    SELECT k, max(i) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (previous IS NOT NULL AND (previous || first) NOT IN ('su', 'ua', 'au')) AS illegal,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+    FROM judged GROUP BY k),
+ended AS (
+    SELECT p.k, p.cost + 3 * length(inserts) AS cost, p.audit || inserts AS audit, p.kept || added AS kept
+    FROM path p LEFT JOIN seen s ON s.k = p.k JOIN grown g ON g.now = p.state AND (g.mid = 'a' OR (g.mid = '' AND g.now = ''))
+    WHERE p.i = coalesce(s.n, 0)
+    QUALIFY row_number() OVER (PARTITION BY p.k ORDER BY p.cost + 3 * length(inserts), p.audit || inserts) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(kept) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM raw) c JOIN ended USING (k) LEFT JOIN seen USING (k)
+"""
+
+ORACLES = {
+    "op7_quality_rules": QUALITY,
+    "op9_mix_sources": MIX,
+    "op11_warc": ARCHIVES,
+    "op12_centroids": _centroids(),
+    "op13_conversations": CONVERSATIONS,
+}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearpair.llm.brown import class_model_scores
+from nearpair.llm.centroids import centroid_clusters
+from nearpair.llm.conversations import damaged, repaired
 from nearpair.llm.decontaminate import contaminated
 from nearpair.llm.jaccard import jaccard_components
 from nearpair.llm.language import fit_languages, predict_languages, training_rows
@@ -19,6 +21,7 @@ from nearpair.llm.rules import quality_verdicts
 from nearpair.llm.secrets import secret_spans
 from nearpair.llm.ship import ship_package
 from nearpair.llm.tokens import encoded
+from nearpair.llm.warc import archived_pages
 
 QUERIES: dict = {}
 
@@ -124,3 +127,19 @@ def op10_ordinal_quality(spark, folder):
         F.col("id").alias("doc_id"), "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("tails")[1].alias("p_good"),
         ((F.col("tails")[0] >= 0.5) & (F.col("tails")[1] >= KEPT)).alias("kept"),
     )
+
+
+@query
+def op11_warc(spark, folder):
+    return archived_pages(table(spark, folder, "pages"))
+
+
+@query
+def op12_centroids(spark, folder):
+    found = centroid_clusters(table(spark, folder, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_conversations(spark, folder):
+    return repaired(damaged(table(spark, folder, "conversations")))

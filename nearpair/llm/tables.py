@@ -34,6 +34,15 @@ def written(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
+def drop_written(table: DataFrame) -> None:
+    """Deletes the files of a table that `written` gave and nothing will read again."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def column(name: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
