@@ -55,3 +55,19 @@ def prefix_length(measure: str, threshold: float, n: Column, q: int = 0) -> Colu
     """
     shared = F.greatest(least_overlap(measure, threshold, n, q), F.lit(1))
     return F.greatest(n - shared + 1, F.lit(0)).cast("int")
+
+
+def size_ratio(measure: str, threshold: float) -> float:
+    """Least size of a set as a share of its partner's (set measures)."""
+    if measure == "jaccard":
+        return threshold
+    return threshold * threshold if measure == "cosine" else threshold / (2 - threshold)
+
+
+def symmetric_share(measure: str, threshold: float) -> float:
+    """Most tokens in only one of two sets, as a share of twice the larger one (set measures).
+
+    Jaccard and Dice bound them by a share of both sizes; for cosine, n1 + n2 - 2 * threshold *
+    sqrt(n1 * n2) is largest at equal sizes within the sizes that a pair may have.
+    """
+    return (1 - threshold) / (1 + threshold) if measure == "jaccard" else 1 - threshold

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ PAD_LEFT, PAD_RIGHT = "#", "$"
 TOKENIZERS = ("space", "qgram", "char")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value computed once: a lambda's body evaluates plain expressions anew
+    for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def space_tokens(text: Column) -> Column:
     """Tokens between single spaces, repeats kept, empty ones dropped."""
     return F.array_remove(F.split(text, " "), "")
@@ -21,15 +29,23 @@ def padded(text: Column, q: int) -> Column:
 
 
 def qgrams(text: Column, q: int) -> Column:
-    """All q-grams of the padded text, in text order; element i starts at position i."""
+    """All q-grams of the padded text, in text order; element i starts at position i.
+
+    Put together from the text's characters: taking substrings of a long text would walk over it
+    for every gram.
+    """
     check_q(q)
-    whole = padded(text, q)
     count = F.length(text) + (q - 1)
-    # sequence(1, 0) counts down, so the one empty case (q = 1, empty text) is split off
-    return F.when(
-        count >= 1,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(whole, i, F.lit(q))),
-    ).when(count < 1, F.array().cast("array<string>"))
+
+    def grams(chars: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)])
+        )
+
+    # sequence(0, -1) counts down, so the one empty case (q = 1, empty text) is split off
+    return F.when(count >= 1, bound(F.split(padded(text, q), ""), grams)).when(
+        count < 1, F.array().cast("array<string>")
+    )
 
 
 def qgram_count(text: Column, q: int) -> Column:
@@ -62,13 +78,25 @@ def counted_tokens(tokens: Column) -> Column:
     """Bag as a set: the k-th copy of a token becomes token + k.
 
     Set functions then count multiplicity. Only for tokens of one fixed length (q-grams),
-    where the appended number cannot be confused with the token.
+    where the appended number cannot be confused with the token. Runs of the sorted bag are
+    numbered one after the other, in time linear in the bag (but for the sort).
     """
-    ordered = F.sort_array(tokens)
-    return F.transform(
-        ordered,
-        lambda token, i: F.concat(token, (i + 2 - F.array_position(ordered, token)).cast("string")),
-    )
+
+    def runs(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered))  # the last one lies behind the bag
+        new = F.filter(places, lambda i: (i == 0) | (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def numbered(starts: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                token = F.get(ordered, start)
+                copies = F.sequence(F.lit(1), F.get(starts, k + 1) - start)
+                return F.transform(copies, lambda c: F.concat(token, c.cast("string")))
+
+            return F.flatten(F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), run))
+
+        return F.when(F.size(ordered) > 0, bound(new, numbered)).when(F.size(ordered) == 0, ordered)
+
+    return bound(F.sort_array(tokens), runs)
 
 
 def deletion_keys(text: Column, tau: int) -> Column:

@@ -19,9 +19,11 @@ from nearpair.operators.candidates import (
     set_candidates,
     size_fits,
 )
-from nearpair.operators.cells import cell_candidates, choose_anchors, route
+from nearpair.operators.cells import CELL_LIMIT, cell_candidates, choose_anchors, route, split_cells
 from nearpair.operators.minhash import HOT_BUCKET, band_candidates, bucket_keys
+from nearpair.operators.occurrences import SHARED, occurrence_candidates
 from nearpair.operators.pairs import weigh_pairs
+from nearpair.operators.partitions import partition_candidates, partition_keys
 from nearpair.operators.signatures import HOT_GRAM, HOT_TOKEN
 from nearpair.plans.parts import (
     gram_keys,
@@ -72,6 +74,20 @@ def prefix_ed_candidates(
     return with_short_pairs(found, texts, right, tau, q)
 
 
+def exhaustive_sets(
+    groups: DataFrame, right: DataFrame | None = None, measure: str = "jaccard", threshold: float = 0.8
+) -> DataFrame:
+    """All pairs that reach the threshold, with no token statistics and no prefix filter.
+
+    The product with its predicate, planned as an equi-join on signatures of parts of the sets
+    (operators/partitions.py), one of which every qualifying pair shares.
+    """
+    keys = [partition_keys(g, measure, threshold) for g in _both(groups, right)]
+    candidates = partition_candidates(keys[0], keys[1] if right is not None else None, measure, threshold)
+    scored = verify_sets(sides(candidates, groups, right), measure, F.col("score") >= threshold)
+    return _weigh_sets(scored, groups, right)
+
+
 def prefix_sets(
     groups: DataFrame,
     right: DataFrame | None = None,
@@ -101,7 +117,10 @@ def prefix_set_candidates(
 def ed_join(
     texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_GRAM
 ) -> DataFrame:
-    """Location-based minimum prefixes, then length, position, mismatch and content filters."""
+    """Location-based minimum prefixes, then length, position, mismatch and content filters.
+
+    The content filter compares windows around the mismatched grams (filters.similar_windows).
+    """
     (keys,) = gram_keys([texts], tau, q, ordering, hot_token, minimum=True)
     found = ed_candidates(keys, None, tau, q, positional=True)
     candidates = with_short_pairs(found, texts, None, tau, q)
@@ -111,29 +130,23 @@ def ed_join(
     )
     rows = rows.filter(filters.few_mismatches(F.col("mismatched"), q, tau))
     rows = rows.filter(filters.mismatches_explained(F.col("mismatched"), q, tau))
-    rows = rows.filter(filters.similar_content(F.col("chars_l"), F.col("chars_r"), tau))
+    rows = rows.filter(
+        filters.similar_windows(F.col("mismatched"), F.col("text_l"), F.col("text_r"), q, tau)
+    )
     return _weigh_ed(verify_ed(rows, tau), texts, None)
 
 
 def gram_count(
-    texts: DataFrame, tau: int = 1, q: int = 3, ordering: str = "idf", hot_token: int = HOT_GRAM
+    texts: DataFrame, tau: int = 1, q: int = 3, shared: int = SHARED, hot_token: int = HOT_GRAM
 ) -> DataFrame:
     """Enough common q-grams, near in length and position, then the edit distance.
 
-    A pair short of max(n_l, n_r) - q * tau common grams is dropped, so a qualifying one
-    shares one of the q * tau + 1 rarest grams of either text. Only those are joined on; all
-    grams are counted, per candidate pair.
+    Grams are counted per pair over each text's `q * tau + shared` rarest ones; the others are
+    probed through signatures (operators/occurrences.py).
     """
-    (keys,) = gram_keys([texts], tau, q, ordering, hot_token)
-    found = ed_candidates(keys, None, tau, q, positional=True)
+    found = occurrence_candidates(texts, tau, q, shared, hot_token)
     candidates = with_short_pairs(found, texts, None, tau, q)
-    rows = sides(candidates, filters.gram_profiles(texts, q, tau), None)
-    rows = rows.filter(
-        filters.enough_common_grams(
-            F.col("grams_l"), F.col("grams_r"), F.col("n_l"), F.col("n_r"), q, tau
-        )
-    )
-    return _weigh_ed(verify_ed(rows, tau), texts, None)
+    return _weigh_ed(verify_ed(sides(candidates, texts, None), tau), texts, None)
 
 
 def cluster_ed(
@@ -143,9 +156,13 @@ def cluster_ed(
     anchors: int = 50,
     seed: int | None = 0,
     hot_token: int = HOT_GRAM,
+    cell_limit: int | None = CELL_LIMIT,
 ) -> DataFrame:
-    """Pairs meet in the cell of an anchor near both texts, on a shared rare q-gram."""
+    """Pairs meet in the cell of an anchor near both texts, on a shared rare q-gram. Cells of more
+    than `cell_limit` texts are divided (None: never measured)."""
     routes = route(texts, "text", choose_anchors(texts, "text", anchors, seed), "ed", tau)
+    if cell_limit is not None:
+        routes = split_cells(texts, "text", routes, "ed", tau, cell_limit)
     (keys,) = gram_keys([texts], tau, q, "idf", hot_token)
     found = cell_candidates(keys, routes, ed_bounds(tau, q))
     candidates = with_short_pairs(found, texts, None, tau, q)
@@ -158,10 +175,14 @@ def cluster_jaccard(
     anchors: int = 50,
     seed: int | None = 0,
     hot_token: int = HOT_TOKEN,
+    cell_limit: int | None = CELL_LIMIT,
 ) -> DataFrame:
-    """Pairs meet in the cell of an anchor near both sets (1 - Jaccard), on a shared rare token."""
+    """Pairs meet in the cell of an anchor near both sets (1 - Jaccard), on a shared rare token.
+    Cells of more than `cell_limit` sets are divided (None: never measured)."""
     chosen = choose_anchors(groups, "tokens", anchors, seed)
     routes = route(groups, "tokens", chosen, "jaccard", 1 - threshold)
+    if cell_limit is not None:
+        routes = split_cells(groups, "tokens", routes, "jaccard", 1 - threshold, cell_limit)
     (keys,) = set_keys([groups], "jaccard", threshold, "idf", hot_token)
     candidates = cell_candidates(keys, routes, set_bounds("jaccard", threshold))
     scored = verify_sets(sides(candidates, groups, None), "jaccard", F.col("score") >= threshold)

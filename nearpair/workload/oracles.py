@@ -297,6 +297,29 @@ ORACLES = {
                  GROUP BY id_l, id_r)
         SELECT id_l, id_r FROM same JOIN size a ON a.id = id_l JOIN size b ON b.id = id_r
         WHERE a.n + b.n - 2 * common <= 4""",
+    "filter_content_windows": f"""
+        {MISMATCHES},
+        run AS (
+            SELECT id_l, id_r, ps, unnest(list_sort(list_filter(ps, lambda p: NOT list_contains(ps, p - 1)))) AS low,
+                   unnest(list_sort(list_filter(ps, lambda p: NOT list_contains(ps, p + 1)))) AS high FROM m),
+        win AS (
+            SELECT id_l, id_r, list_filter(ps, lambda p: p > high + 2) AS behind,
+                   string_split(substr(a.text, greatest(low - 2, 0) + 1, high + 1 - greatest(low - 2, 0)), '') AS x,
+                   string_split(substr(b.text, greatest(low - 2, 0) + 1, high + 1 - greatest(low - 2, 0)), '') AS y
+            FROM run JOIN t a ON a.id = id_l JOIN t b ON b.id = id_r),
+        far AS (
+            SELECT DISTINCT id_l, id_r FROM win WHERE 4 <
+                list_sum(list_transform(list_distinct(list_filter(x || y, lambda c: c <> '')), lambda c:
+                    abs(len(list_filter(x, lambda d: d = c))::BIGINT - len(list_filter(y, lambda d: d = c))::BIGINT)))
+                + 2 * CASE WHEN len(behind) = 0 THEN 0 ELSE {ERRORS.format('behind')} END)
+        SELECT id_l, id_r FROM m ANTI JOIN far USING (id_l, id_r)""",
+    "gram_counts": f"""
+        WITH {RANKED_GRAMS},
+        bag AS (SELECT id, n, gram, count(*) AS copies FROM grams GROUP BY ALL)
+        SELECT a.id AS id_l, b.id AS id_r, sum(least(a.copies, b.copies))::BIGINT AS common
+        FROM bag a JOIN bag b ON a.gram = b.gram AND a.id < b.id AND abs(a.n - b.n) <= 1 AND greatest(a.n, b.n) > 3
+        GROUP BY a.id, b.id, a.n, b.n
+        HAVING sum(least(a.copies, b.copies)) >= greatest(a.n, b.n) - 3""",
     "score_edit_distance": """
         SELECT a.page_id AS id, levenshtein(a.url, b.url) AS score
         FROM pages a JOIN pages b ON b.page_id = a.page_id + 1""",
@@ -305,6 +328,7 @@ ORACLES = {
     "score_dice": turn_score("dice"),
     "cross_self_ed": self_ed(URLS, 2),
     "cross_self_jaccard": self_sets(URLS, "jaccard", "s >= 0.7", GRAMS),
+    "cross_self_jaccard_documents": JACCARD_8,
     "cross_rs_ed": rs_ed(PARTS, PARTS, 1),
     "prefix_self_ed": PART_PAIRS,
     "prefix_self_jaccard": JACCARD_8,
@@ -318,7 +342,7 @@ ORACLES = {
         name: self_ed(CUSTOMERS, 1)
         for name in (
             "prefix_self_ed_skew", "ed_join_self_skew", "gram_count_self_skew", "cluster_self_ed_skew",
-            "cross_self_ed_skew",
+            "cross_self_ed_skew", "cluster_self_ed_split",
         )
     },
     "prefix_self_jaccard_hot": JACCARD_8,

@@ -26,6 +26,7 @@ from nearpair.operators.order import (
     token_frequency,
     token_rows,
 )
+from nearpair.operators.occurrences import shared_gram_counts
 from nearpair.operators.pairs import (
     evaluate_pairs,
     intersect_pairs,
@@ -335,6 +336,18 @@ def filter_content(spark, folder):
     return profiled_candidates(spark, folder).filter(similar).select("id_l", "id_r")
 
 
+@query
+def filter_content_windows(spark, folder):
+    rows = mismatches(spark, folder)
+    similar = filters.similar_windows(F.col("missing"), F.col("text_l"), F.col("text_r"), Q, FILTER_TAU)
+    return rows.filter(similar).select("id_l", "id_r")
+
+
+@query
+def gram_counts(spark, folder):
+    return shared_gram_counts(text_groups(parts(spark, folder)), TAU, Q)
+
+
 # -- measures ------------------------------------------------------------------------------
 
 
@@ -378,7 +391,18 @@ def cross_self_ed(spark, folder):
 @query
 def cross_self_jaccard(spark, folder):
     groups = token_groups(urls(spark, folder), "qgram", Q)
-    return rounded(joins.prefix_sets(groups, None, "jaccard", 0.7))
+    return rounded(joins.exhaustive_sets(groups, None, "jaccard", 0.7))
+
+
+@query
+def cross_self_jaccard_documents(spark, folder):
+    return rounded(joins.exhaustive_sets(token_groups(documents(spark, folder)), None, "jaccard", SIMILARITY))
+
+
+@query
+def cluster_self_ed_split(spark, folder):
+    """Every cell of more than 40 names is crowded and divided, where that pays."""
+    return joins.cluster_ed(text_groups(customers(spark, folder)), TAU, Q, ANCHORS, cell_limit=40)
 
 
 @query
