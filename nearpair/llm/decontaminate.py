@@ -48,7 +48,7 @@ LEAST_WORDS = 8  # an item with fewer must be there whole
 COMMON = 0.003  # share of the cells from which a term is common
 RARE_TERMS = 6  # an item's rarest terms are never common
 FAN = 64  # partial sums added up at once
-_STEP = 1 << 15  # term places worked on at once
+_STEP = 1 << 13  # term places worked on at once
 
 
 class Items(NamedTuple):

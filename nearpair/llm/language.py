@@ -30,6 +30,7 @@ from nearpair.llm.words import mix
 
 FEATURES = 4096
 PER_LANGUAGE = 1000  # bound of the training sample
+LANGUAGES = 1 << 16  # rows of counts that may travel to every task
 CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 _ITERATIONS = 150
@@ -79,8 +80,14 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """`text, lang`: the texts of lowest hash, about `per_language` of each language at most."""
-    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    """`text, lang`: the texts of lowest hash, about `per_language` of each language at most.
+
+    The languages' counts (as many rows as counted, LANGUAGES at most) go to all tasks, so that no
+    text moves that is not in the sample; more languages than that are joined by a shuffle.
+    """
+    counts = written(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-counts")
+    if counts.count() <= LANGUAGES:
+        counts = F.broadcast(counts)
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
     return docs.join(counts, "lang").filter(share * F.col("rows") < per_language).select("text", "lang").distinct()
 
@@ -115,8 +122,7 @@ def families(names: list[str], means: np.ndarray) -> list[list[str]]:
 
 def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and, last, bias of a linear support vector machine (squared hinge loss, classes
-    weighed equally), by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    weighed equally), by accelerated gradient steps. The last column of x is all ones."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = ahead = np.zeros(x.shape[1], np.float32)
     t, step = 1.0, np.float32(0.25)  # rows have length sqrt(2): the curvature is at most 4
@@ -130,7 +136,9 @@ def fit_machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _trained(table: pa.Table) -> pa.Table:
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
+    x = np.ones((table.num_rows, FEATURES + 1), np.float32)
+    for row, raw in zip(x, table["x"]):
+        row[:FEATURES] = np.frombuffer(raw.as_buffer(), np.float16)
     y = table["y"].to_numpy().astype(np.float32)
     return pa.table({"machine": [table["machine"][0].as_py()], "w": [fit_machine(x, y).astype(np.float32).tobytes()]})
 
