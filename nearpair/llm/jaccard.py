@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.llm.components import connected_components
+from nearpair.llm.memory import released
 from nearpair.llm.tables import column, packed_rows, without, written
 from nearpair.llm.words import Words, chunks, mix
 
-BUCKET = 1 << 21  # n-gram entries in a hash bucket, about
+BUCKET = 1 << 20  # n-gram entries in a hash bucket, about
 SLICES = 32  # of the hash range, for the suffix filter
 _STEP = 0x5851F42D4C957F2D  # its powers weigh the words of an n-gram
 _TOLD = 1 << 15  # an entry at or above it holds a count, not a document
@@ -274,16 +275,16 @@ def _survivors(bits: int, percent: int):
 
 def gram_sizes(docs: DataFrame, size: int = 5) -> DataFrame:
     """`id, n, k1, k2` of `id, text`: the size of each n-gram set and 128 bits that name it."""
-    return docs.mapInArrow(_sizes(size), "id bigint, n bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(released(_sizes(size)), "id bigint, n bigint, k1 bigint, k2 bigint")
 
 
 def surviving_sets(docs: DataFrame, entries: int, size: int = 5, percent: int = 80) -> DataFrame:
     """Sets that may link, one of each chunk's equal ones: `id, n`, `grams` (repeated n-grams,
     sorted, packed), `at` (n-grams before those), `prefix` (those in the prefix), `slices`."""
     bits = min(40, max(6, math.ceil(math.log2(max(1, entries) / BUCKET))))
-    dealt = docs.mapInArrow(_dealt(size, bits), _ddl(_ENTRY))
-    found = dealt.groupBy("bucket").applyInArrow(_repeated(bits), _ddl(_FOUND))
-    return found.groupBy("chunk").applyInArrow(_survivors(bits, percent), _ddl(_SET))
+    dealt = docs.mapInArrow(released(_dealt(size, bits)), _ddl(_ENTRY))
+    found = dealt.groupBy("bucket").applyInArrow(released(_repeated(bits)), _ddl(_FOUND))
+    return found.groupBy("chunk").applyInArrow(released(_survivors(bits, percent)), _ddl(_SET))
 
 
 def _overlap(percent: int):
@@ -326,7 +327,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for value, bound in (("slices", at_most), ("grams", common)):
         joined = pairs.join(side("l", value), "l").join(side("r", value), "r")
         joined = joined.select("l", "r", "n_l", "n_r", F.col(f"{value}_l").alias("x_l"), F.col(f"{value}_r").alias("x_r"))
-        pairs = joined.mapInArrow(checked(bound), "l bigint, r bigint")
+        pairs = joined.mapInArrow(released(checked(bound)), "l bigint, r bigint")
     return pairs
 
 
