@@ -30,6 +30,8 @@ HEADLINE = [
     "cross_rs_ed",
     "prefix_rs_ed",
     "cross_self_jaccard",
+    # documents: the join without frequencies and the methods against it
+    "cross_self_jaccard_documents",
     "prefix_self_jaccard",
     "prefix_self_cosine",
     "prefix_self_dice",

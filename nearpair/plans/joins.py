@@ -23,7 +23,7 @@ from nearpair.operators.cells import CELL_LIMIT, cell_candidates, choose_anchors
 from nearpair.operators.minhash import HOT_BUCKET, band_candidates, bucket_keys
 from nearpair.operators.occurrences import SHARED, occurrence_candidates
 from nearpair.operators.pairs import weigh_pairs
-from nearpair.operators.partitions import partition_candidates, partition_keys
+from nearpair.operators.partitions import CROWDED, partition_candidates, partition_keys, without_crowded
 from nearpair.operators.signatures import HOT_GRAM, HOT_TOKEN
 from nearpair.plans.parts import (
     gram_keys,
@@ -75,15 +75,27 @@ def prefix_ed_candidates(
 
 
 def exhaustive_sets(
-    groups: DataFrame, right: DataFrame | None = None, measure: str = "jaccard", threshold: float = 0.8
+    groups: DataFrame,
+    right: DataFrame | None = None,
+    measure: str = "jaccard",
+    threshold: float = 0.8,
+    crowded: int = CROWDED,
 ) -> DataFrame:
-    """All pairs that reach the threshold, with no token statistics and no prefix filter.
+    """All pairs that reach the threshold, by keys that need no token statistics.
 
     The product with its predicate, planned as an equi-join on signatures of parts of the sets
-    (operators/partitions.py), one of which every qualifying pair shares.
+    (operators/partitions.py). Sets too small for that, and those of parts that more than `crowded`
+    sets agree in, are joined among themselves by prefixes.
     """
-    keys = [partition_keys(g, measure, threshold) for g in _both(groups, right)]
-    candidates = partition_candidates(keys[0], keys[1] if right is not None else None, measure, threshold)
+    both = _both(groups, right)
+    keys = [partition_keys(g, measure, threshold) for g in both]
+    cold = without_crowded([k for k, _ in keys], crowded)
+    found = partition_candidates(cold[0][0], cold[1][0] if right is not None else None, measure, threshold)
+    left_over = [few.unionByName(lost) for (_, few), (_, lost) in zip(keys, cold)]
+    sparse = [g.join(ids, "id", "left_semi") for g, ids in zip(both, left_over)]
+    ranked = set_keys(sparse, measure, threshold)
+    rest = set_candidates(ranked[0], ranked[1] if right is not None else None, measure, threshold)
+    candidates = found.unionByName(rest).distinct()
     scored = verify_sets(sides(candidates, groups, right), measure, F.col("score") >= threshold)
     return _weigh_sets(scored, groups, right)
 
