@@ -9,22 +9,31 @@ ASCII); the end of a text is a class of its own and the context of a text's firs
     P(w after v) = P(class(w) | class(v)) * P(w | class(w))
 
 Transitions are smoothed towards class frequencies; a word of a shape class has one count added,
-so unseen words keep some mass. Vocabulary, bigrams, classes of words and scores are Spark
-tables, and a round joins them; only the class matrices and what is known of the HEAD most
-frequent words go through the driver. Counts and classes of other words reach the texts by a join.
+so unseen words keep some mass.
+
+Bigrams are shuffled once: each word's neighbours on either side are written as packed lists, in
+segments if the word is frequent. A round is then a pass over that table with the classes of the
+HEAD most frequent words, of fixed size, in every task; only counts of frequent words are summed
+over segments. Neighbours beyond the head are rows, joined with their classes. Rounds end when the
+likelihood of the classes no longer rises. Only class matrices and what is known of the head go
+through the driver; counts and classes of other words reach the texts by a join.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearpair.llm.tables import written
+from nearpair.llm.memory import released
+from nearpair.llm.tables import drop_written, written
 from nearpair.llm.words import Words, chunks, mix
 
 HEAD = 1 << 17  # most frequent words whose counts every task holds
@@ -36,9 +45,13 @@ _SHAPES = 16
 _PAIR = 0x9E3779B97F4A7C15
 _END = np.uint64(0x5EED0FE2D0FAD0C5)  # stands for the end of a text
 _FLUSH = 1 << 21  # tokens counted before they are handed on
+_DEAL = 1 << 20  # bigrams dealt into buckets at once
+_BUCKET = 1 << 19  # neighbours in a bucket, about
+_SEGMENT = 1 << 18  # occurrences of a word whose neighbours stay together
 _SPECIAL = 1 << 19  # symbol of the first shape; those of head words, their ranks, are below
 _LATE = 1 << 20  # set in the symbols of words beyond the head, otherwise their hashes
 _BLOCK = 1 << 12  # words moved at once, about
+_LOG = logging.getLogger(__name__)
 
 
 def _shape(words: Words) -> np.ndarray:
@@ -153,29 +166,184 @@ def _told(bigrams: DataFrame, late: DataFrame) -> DataFrame:
     return bigrams
 
 
-def _classes(of: DataFrame, classes: int) -> DataFrame:
-    """`symbol, c, moved` of the words, and those of shapes and the end; written, so that its size is known."""
-    fixed = pa.table({"symbol": np.arange(_SPECIAL, _SPECIAL + _SHAPES + 1), "c": np.arange(classes, classes + _SHAPES + 1, dtype=np.int32)})
-    fixed = of.sparkSession.createDataFrame(fixed).withColumn("moved", F.lit(False))
-    return written(of.unionByName(fixed), "classes")
+def _pack(values: np.ndarray) -> bytes:
+    """The numbers as differences, byte by byte of their place, compressed."""
+    steps = np.diff(values, prepend=0).astype(np.int64)
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def _with_classes(bigrams: DataFrame, of: DataFrame) -> DataFrame:
-    """Bigrams with the classes `ca, cb` of their symbols."""
-    a, b = (of.select(F.col("symbol").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    return bigrams.join(a, "a").join(b, "b")
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
-def _class_pairs(placed: DataFrame, span: int) -> np.ndarray:
-    """[c, c2]: how often a symbol of class c precedes one of c2."""
-    rows = placed.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
-    pair = np.zeros((span, span))
-    pair[rows["ca"].to_numpy(), rows["cb"].to_numpy()] = rows["n"].to_numpy()
-    return pair
+_LISTS = [f"{side}_{x}" for side in ("before", "after") for x in ("w", "near", "n")]
+_NEAR = "bucket bigint, " + ", ".join(f"{x} binary" for x in _LISTS)
+
+
+def _segments(w: np.ndarray, known: np.ndarray, late: int) -> np.ndarray:
+    """Segments of the words' neighbours; `late`: those of a word beyond the head."""
+    own = (w & _LATE) == 0
+    return np.where(own, known[np.where(own, w, 0)], late)
+
+
+def _dealt(segments, late: int, buckets: int):
+    """Packed neighbours of the bigrams `a, b, n`, by bucket of word and segment.
+
+    before: for each symbol those in front of it, with counts; after: those that follow, for words
+    that may move. Neighbours beyond the head are left out.
+    """
+
+    def lists(w: np.ndarray, near: np.ndarray, n: np.ndarray) -> dict[int, list[bytes]]:
+        seg = mix(near.astype(np.uint64)) % _segments(w, segments.value, late).astype(np.uint64)
+        bucket = mix(w.view(np.uint64) * np.uint64(_PAIR) + seg) % np.uint64(buckets)
+        # the order within a bucket only helps to compress
+        order = np.argsort((bucket << np.uint64(38)) | ((w.view(np.uint64) & np.uint64((1 << 18) - 1)) << np.uint64(20)) | near.view(np.uint64))
+        bucket, w, near, n = bucket[order].astype(np.int64), w[order], near[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.append(at[1:], len(bucket))
+        return {int(bucket[i]): [_pack(x[i:j]) for x in (w, near, n)] for i, j in zip(at, ends)}
+
+    def out(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, b, n = (np.concatenate(x) for x in zip(*found))
+        known = (a & _LATE) == 0
+        before = lists(b[known], a[known], n[known])
+        known = ((b & _LATE) == 0) & ((a < _SPECIAL) | ((a & _LATE) != 0))
+        after = lists(a[known], b[known], n[known])
+        both = sorted(before.keys() | after.keys())
+        empty = [None] * 3
+        columns = zip(*[before.get(x, empty) + after.get(x, empty) for x in both])
+        return pa.RecordBatch.from_arrays([pa.array(both, pa.int64()), *[pa.array(x, pa.binary()) for x in columns]], ["bucket", *_LISTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, _DEAL):
+                part = batch.slice(i, _DEAL)
+                found.append([part.column(x).to_numpy() for x in range(3)])
+                size += part.num_rows
+                if size >= _DEAL:
+                    yield out(found)
+                    found, size = [], 0
+        if size:
+            yield out(found)
+
+    return run
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The lists of one bucket as one: words in order, each neighbour once."""
+    columns = []
+    for side in ("before", "after"):
+        parts = [[_unpack(x) for x in table.column(f"{side}_{y}").drop_null().to_pylist()] for y in ("w", "near", "n")]
+        w, near, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+        order = np.lexsort((near, w))
+        w, near, n = w[order], near[order], n[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (near[1:] != near[:-1])
+        at = np.flatnonzero(new)
+        columns += [w[at], near[at], np.add.reduceat(n, at) if len(at) else n]
+    return pa.table([table.column("bucket").slice(0, 1), *[pa.array([_pack(x)], pa.binary()) for x in columns]], ["bucket", *_LISTS])
+
+
+class Near(NamedTuple):
+    """Neighbours of words."""
+
+    packed: DataFrame  # those of the head, shapes and ends, as lists
+    late: DataFrame | None  # those beyond the head: `w, side, near, n`
+    segments: object  # broadcast: segments of each symbol of the head, shapes and the end
+
+
+class Classes(NamedTuple):
+    """The class of every symbol."""
+
+    front: np.ndarray  # of the head, shapes and the end
+    late: DataFrame | None  # of words beyond the head: `symbol, c`
+    pair: np.ndarray  # [c, c2]: how often a symbol of class c precedes one of c2
+
+
+def _sparse(table: np.ndarray, first: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    i, j = np.nonzero(table)
+    return pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(j.astype(np.int32)), pa.array(table[i, j].astype(np.int64))], names)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch], side: str) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for row in zip(*[batch.column(f"{side}_{x}").to_pylist() for x in ("w", "near", "n")]):
+            yield [_unpack(x) for x in row]
+
+
+def _count_pairs(front, span: int):
+    """`ca, cb, n` of packed lists whose words are all in front."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = front.value
+        pair = np.zeros(span * span)
+        for w, near, n in _blobs(batches, "before"):
+            pair += np.bincount(of[near] * span + of[w], n, minlength=span * span)
+        yield _sparse(pair.reshape(span, span), np.arange(span), ["ca", "cb", "n"])
+
+    return run
+
+
+def _profiles(row: list[np.ndarray], of: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of both lists, and how often they follow and precede each class."""
+    w, near, n, w2, near2, n2 = row
+    words, at = np.unique(np.concatenate([w, w2]), return_inverse=True)
+    c = np.concatenate([of[near], of[near2] + span])
+    return words, np.bincount(at * (2 * span) + c, np.concatenate([n, n2]), minlength=len(words) * 2 * span).reshape(len(words), 2 * span)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    for row in zip(*[batch.column(x).to_pylist() for x in _LISTS]):
+        yield [_unpack(x) for x in row]
+
+
+def _near_classes(front, span: int):
+    """`w, c, n`: how often words follow (c) and precede (span + c) classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                words, near = _profiles(row, front.value, span)
+                yield _sparse(near, words, ["w", "c", "n"])
+
+    return run
+
+
+def _move(near: np.ndarray, of: np.ndarray, log_next: np.ndarray, total: np.ndarray, classes: int) -> np.ndarray:
+    """New classes of words, from how often they follow and precede each class."""
+    span = len(log_next)
+    after, ahead = near[:, :span], near[:, span:]
+    count = after.sum(axis=1)
+    score = after @ log_next[:, :classes] + ahead @ log_next[:classes].T
+    inside = of[:, None] == np.arange(classes)
+    score -= count[:, None] * np.log(np.maximum(total[:classes] + np.where(inside, 0, count[:, None]), 1))
+    return score.argmax(axis=1).astype(np.int32)
+
+
+def _move_whole(front, segments, log_next: np.ndarray, total: np.ndarray, classes: int):
+    """`w, c, n`: new classes (n null) of words of one segment, counts as in `_near_classes` of others."""
+    span = len(log_next)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, parts = front.value, segments.value
+        for batch in batches:
+            for row in _rows(batch):
+                words, near = _profiles(row, of, span)
+                move = of[words] < classes
+                words, near = words[move], near[move]
+                whole = parts[words] == 1
+                yield _sparse(near[~whole], words[~whole], ["w", "c", "n"])
+                words = words[whole]
+                c = _move(near[whole], of[words], log_next, total, classes)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c), pa.nulls(len(c), pa.int64())], ["w", "c", "n"])
+
+    return run
 
 
 def _moved(log_next: np.ndarray, total: np.ndarray, classes: int):
-    """New classes of a block of words, from how often they follow and precede each class."""
+    """`symbol, c` of a block of words from their rows `w, own, c, n`."""
     span = len(log_next)
 
     def run(table: pa.Table) -> pa.Table:
@@ -184,40 +352,91 @@ def _moved(log_next: np.ndarray, total: np.ndarray, classes: int):
         near = np.bincount(at * (2 * span) + c, n, minlength=len(words) * 2 * span).reshape(len(words), 2 * span)
         of = np.zeros(len(words), np.int64)
         of[at] = own
-        after, ahead = near[:, :span], near[:, span:]
-        count = after.sum(axis=1)
-        score = after @ log_next[:, :classes] + ahead @ log_next[:classes].T
-        inside = of[:, None] == np.arange(classes)
-        score -= count[:, None] * np.log(np.maximum(total[:classes] + np.where(inside, 0, count[:, None]), 1))
-        return pa.table({"symbol": words, "c": score.argmax(axis=1).astype(np.int32), "moved": score.argmax(axis=1) != of})
+        return pa.table({"symbol": words, "c": _move(near, of, log_next, total, classes)})
 
     return run
 
 
-def exchange_classes(bigrams: DataFrame, start: DataFrame, words: int, classes: int, rounds: int) -> DataFrame:
-    """`symbol, c`: the classes of the words in `start` (of the same columns) after the rounds, with those fixed.
+def _matrix(rows: DataFrame, span: int) -> np.ndarray:
+    rows = rows.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toArrow()
+    pair = np.zeros((span, span))
+    pair[rows["ca"].to_numpy(), rows["cb"].to_numpy()] = rows["n"].to_numpy()
+    return pair
+
+
+def _likelihood(pair: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the bigrams."""
+
+    def entropy(x: np.ndarray) -> float:
+        return float((x * np.log(np.maximum(x, 1))).sum())
 
-    `bigrams` are `a, b, n`. Shapes and the end of a text have classes of their own. A round
-    joins the bigrams with the classes and counts how often each word follows and precedes each class.
+    return entropy(pair) - entropy(pair.sum(axis=0)) - entropy(pair.sum(axis=1))
+
+
+def _counted_near(near: Near, front: np.ndarray, late: DataFrame, span: int) -> DataFrame:
+    """`w, own, c, n` of all words where some are beyond the head; written."""
+    spark = near.packed.sparkSession
+    counts = near.packed.mapInArrow(_near_classes(spark.sparkContext.broadcast(front), span), "w bigint, c int, n bigint")
+    named = late.select(F.col("symbol").alias("near"), F.col("c"))
+    others = near.late.join(named, "near").select("w", (F.col("c") + F.col("side") * span).cast("int").alias("c"), "n")
+    counts = counts.unionByName(others).groupBy("w", "c").agg(F.sum("n").alias("n"))
+    used = np.flatnonzero(front >= 0)
+    own = spark.createDataFrame(pa.table({"symbol": used, "c": front[used].astype(np.int32)})).unionByName(late)
+    return written(counts.join(own.toDF("w", "own"), "w").select("w", "own", "c", "n"), "counts")
+
+
+def exchange_classes(near: Near, front: np.ndarray, late: DataFrame | None, words: int, classes: int, rounds: int) -> Classes:
+    """The classes after the rounds, of as many `words`, from those of the head, shapes and the end
+    (`front`, by symbol) and of the words beyond the head (`late`: `symbol, c`, or None).
+
+    Shapes and the end have classes of their own and stay. All words move at once, given the classes
+    of the round before; the first round that does not raise the likelihood is undone and ends it.
     """
-    of, span = _classes(start.withColumn("moved", F.lit(True)), classes), classes + _SHAPES + 1
+    spark, span = near.packed.sparkSession, classes + _SHAPES + 1
     blocks = max(256, words // _BLOCK)
-    for _ in range(rounds if words > 1 else 0):
-        placed = _with_classes(bigrams, of)
-        pair = _class_pairs(placed, span)
+    block = F.pmod(F.xxhash64("w"), F.lit(blocks)).alias("block")
+
+    def measure(front: np.ndarray, late: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
+        if late is None:
+            run = _count_pairs(spark.sparkContext.broadcast(front), span)
+            return _matrix(near.packed.select("before_w", "before_near", "before_n").mapInArrow(released(run), "ca bigint, cb int, n bigint"), span), None
+        counts = _counted_near(near, front, late, span)
+        return _matrix(counts.filter(F.col("c") < span).select(F.col("c").alias("ca"), F.col("own").alias("cb"), "n"), span), counts
+
+    pair, counts = measure(front, late)
+    for turn in range(rounds if words > 1 else 0):
         smooth = pair + 0.1
         log_next = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        sides = F.array(
-            F.struct(F.col("b").alias("w"), F.col("cb").alias("own"), F.col("ca").alias("c")),
-            F.struct(F.col("a").alias("w"), F.col("ca").alias("own"), (F.col("cb") + span).alias("c")),
-        )
-        near = placed.select(F.explode(sides).alias("s"), "n").select("s.*", "n").filter(F.col("own") < classes)
-        near = near.groupBy("w", "own", "c").agg(F.sum("n").alias("n"))
-        near = near.groupBy(F.pmod(F.xxhash64("w"), F.lit(blocks)).alias("block"))
-        of = _classes(near.applyInArrow(_moved(log_next, pair.sum(axis=1), classes), "symbol bigint, c int, moved boolean"), classes)
-        if of.filter("moved").isEmpty():
+        if late is None:
+            run = _move_whole(spark.sparkContext.broadcast(front), near.segments, log_next, pair.sum(axis=1), classes)
+            moves = written(near.packed.mapInArrow(released(run), "w bigint, c int, n bigint"), "moves")
+            found = moves.filter("n IS NULL").select(F.col("w").alias("symbol"), "c")
+            split = np.flatnonzero(near.segments.value[:_SPECIAL] > 1)
+            if len(split):
+                own = spark.createDataFrame(pa.table({"w": split, "own": front[split].astype(np.int32)}))
+                parts = moves.filter("n IS NOT NULL").groupBy("w", "c").agg(F.sum("n").alias("n")).join(F.broadcast(own), "w")
+                parts = parts.select("w", "own", "c", "n").groupBy(block)
+                found = found.unionByName(parts.applyInArrow(_moved(log_next, pair.sum(axis=1), classes), "symbol bigint, c int"))
+            found = found.toArrow()
+            drop_written(moves)
+            late_then = None
+        else:
+            moves = counts.filter(F.col("own") < classes).groupBy(block).applyInArrow(_moved(log_next, pair.sum(axis=1), classes), "symbol bigint, c int")
+            moves = written(moves, "moves")
+            drop_written(counts)
+            found = moves.filter(F.col("symbol").bitwiseAND(F.lit(_LATE)) == 0).toArrow()
+            late_then = moves.filter(F.col("symbol").bitwiseAND(F.lit(_LATE)) != 0)
+        then = front.copy()
+        then[found["symbol"].to_numpy()] = found["c"].to_numpy()
+        pair_then, counts = measure(then, late_then)
+        rise = _likelihood(pair_then) - _likelihood(pair)
+        _LOG.info("round %d: log likelihood rises by %.1f", turn + 1, rise)
+        if rise <= 0:
             break
-    return of.select("symbol", "c")
+        front, late, pair = then, late_then, pair_then
+    if counts is not None:
+        drop_written(counts)
+    return Classes(front, late, pair)
 
 
 def _transitions(pair: np.ndarray) -> np.ndarray:
@@ -348,30 +567,62 @@ def class_model_scores(
         F.coalesce("rank", F.col("word").bitwiseOR(F.lit(_LATE))).alias("symbol"),
         F.coalesce("classed", F.lit(late) & (F.col("n") >= least)).alias("classed"),
     )
-    start = written(named.filter("classed").select("symbol", "word", "n", F.pmod("word", F.lit(classes)).cast("int").alias("c")), "start")
-
-    bigrams = training.mapInArrow(_bigrams(heads, classed, late), "a bigint, b bigint, n bigint")
-    bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
-    if late:
-        final = F.when(F.col("classed"), F.col("symbol")).otherwise(F.col("shape") + F.lit(_SPECIAL)).cast("bigint")
-        bigrams = _told(bigrams, named.filter("beyond").select("symbol", final.alias("final")))
-        bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
-    of = exchange_classes(bigrams, start.select("symbol", "c"), start.count(), classes, rounds)
-    step = _transitions(_class_pairs(_with_classes(bigrams, of), classes + _SHAPES + 1))
-    placed = start.drop("c").join(of, "symbol")
-    in_class = np.ones(classes)
-    for c, tokens in placed.groupBy("c").agg(F.sum("n")).collect():
-        in_class[c] = tokens
     mass = np.ones(_SHAPES)
+    seen = np.zeros(_SHAPES)
     for shape, tokens, kinds in named.filter("NOT classed").groupBy("shape").agg(F.sum("n"), F.count(F.lit(1))).collect():
         mass[shape] += tokens + kinds
+        seen[shape] += tokens
+
+    front = np.full(_SPECIAL + _SHAPES + 1, -1, np.int64)
+    ranked = np.flatnonzero(classed)
+    front[ranked] = np.mod(hashes.view(np.int64)[ranked], classes)
+    front[_SPECIAL:] = classes + np.arange(_SHAPES + 1)
+    occurs = np.zeros(len(front))
+    occurs[: len(counts)] = counts
+    occurs[_SPECIAL:] = np.append(seen, ends)
+    segments = spark.sparkContext.broadcast(np.maximum(np.ceil(occurs / _SEGMENT), 1).astype(np.int64))
+    late_segments = max(1, int(np.ceil(counts[-1] / _SEGMENT))) if late else 1
+    buckets = min(1 << 26, max(32, 2 * int(n) // _BUCKET))
+    deal, count = _dealt(segments, late_segments, buckets), _bigrams(heads, classed, late)
+    later, late_near, late_words = None, None, 0
+    if late:
+        others = named.filter("beyond AND classed")
+        later = written(others.select("symbol", F.pmod("word", F.lit(classes)).cast("int").alias("c")), "start")
+        late_words = later.count()
+        bigrams = training.mapInArrow(released(count), "a bigint, b bigint, n bigint")
+        bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
+        final = F.when(F.col("classed"), F.col("symbol")).otherwise(F.col("shape") + F.lit(_SPECIAL)).cast("bigint")
+        told = _told(bigrams, named.filter("beyond").select("symbol", final.alias("final")))
+        told = written(told.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
+        drop_written(bigrams)
+        open_a, open_b = (F.col(x).bitwiseAND(F.lit(_LATE)) != 0 for x in "ab")
+        in_front = told.filter(open_a).select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("near"), "n")
+        behind = told.filter(open_b).select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("near"), "n")
+        late_near = in_front.unionByName(behind)
+        dealt = told.mapInArrow(released(deal), _NEAR)
+    else:
+
+        def count_and_deal(batches):
+            yield from deal(count(batches))
+
+        dealt = training.mapInArrow(released(count_and_deal), _NEAR)
+    packed = written(dealt.groupBy("bucket").applyInArrow(released(_merged), _NEAR), "near")
+    of = exchange_classes(Near(packed, late_near, segments), front, later, len(ranked) + late_words, classes, rounds)
+    drop_written(packed)
+    if late:
+        placed = written(others.select("symbol", "word", "n").join(of.late, "symbol"), "placed")
+        drop_written(told)
+    step = _transitions(of.pair)
+    in_class = np.bincount(of.front[ranked], counts[ranked], minlength=classes)
+    if late:
+        for c, tokens in placed.groupBy("c").agg(F.sum("n")).collect():
+            in_class[c] += tokens
+    in_class = np.maximum(in_class, 1)
     rare = np.log10(mass)
     own = classes + top["shape"].to_numpy().astype(np.int64)
     emit = np.log10(counts + 1) - rare[own - classes]
-    front = of.filter(F.col("symbol").between(0, _SPECIAL - 1)).toArrow()
-    at = front["symbol"].to_numpy()
-    own[at] = front["c"].to_numpy()
-    emit[at] = np.log10(counts[at] / in_class[own[at]])
+    own[ranked] = of.front[ranked]
+    emit[ranked] = np.log10(counts[ranked] / in_class[own[ranked]])
     model = spark.sparkContext.broadcast((counts, own, emit, rare, step, float(ends)))
 
     scored = written(rows.select("id", "text").mapInArrow(_scores(heads, model, classes, late), _SCORED), "scored")
@@ -379,7 +630,7 @@ def class_model_scores(
     others = named.filter("beyond").select("word", "shape", "n")
     added = F.log10(F.col("n") + 1)
     if late:
-        later = written(placed.filter(F.col("symbol").bitwiseAND(F.lit(_LATE)) != 0).select("word", "c"), "later")
+        later = placed.select("word", "c")
         others = written(others.join(later, "word", "left"), "others")
         table = [F.array(*[F.lit(float(x)) for x in values]) for values in (rare, np.log10(in_class))]
         in_model = F.coalesce(F.log10("n") + F.get(table[0], F.col("shape")) - F.get(table[1], F.col("c")), added)
