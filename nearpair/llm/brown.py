@@ -36,7 +36,7 @@ from nearpair.llm.memory import released
 from nearpair.llm.tables import drop_written, written
 from nearpair.llm.words import Words, chunks, mix
 
-HEAD = 1 << 17  # most frequent words whose counts every task holds
+HEAD = 1 << 20  # most frequent words whose counts every task holds
 LEAST = 5  # occurrences from which a word gets a class by exchange
 CLASSES = 64
 ROUNDS = 8
@@ -48,9 +48,10 @@ _FLUSH = 1 << 21  # tokens counted before they are handed on
 _DEAL = 1 << 20  # bigrams dealt into buckets at once
 _BUCKET = 1 << 19  # neighbours in a bucket, about
 _SEGMENT = 1 << 18  # occurrences of a word whose neighbours stay together
-_SPECIAL = 1 << 19  # symbol of the first shape; those of head words, their ranks, are below
-_LATE = 1 << 20  # set in the symbols of words beyond the head, otherwise their hashes
+_SPECIAL = 1 << 20  # symbol of the first shape; those of head words, their ranks, are below
+_LATE = 1 << 21  # set in the symbols of words beyond the head, otherwise their hashes
 _BLOCK = 1 << 12  # words moved at once, about
+_WORDS = 1 << 13  # words of a bucket whose counts by class are held at once
 _LOG = logging.getLogger(__name__)
 
 
@@ -61,7 +62,7 @@ def _shape(words: Words) -> np.ndarray:
 class Lookup:
     """Positions of hashes in a set of hashes, -1 if absent."""
 
-    def __init__(self, hashes: np.ndarray, bits: int = 21) -> None:
+    def __init__(self, hashes: np.ndarray, bits: int = 22) -> None:
         self.shift = np.uint64(64 - bits)
         self.order = np.argsort(hashes)
         self.sorted, self.hashes = hashes[self.order], hashes
@@ -120,9 +121,10 @@ def _ordered(words: Words, texts: int, own: np.ndarray, end: int) -> tuple[np.nd
     return symbols, np.concatenate([np.full(1, end, own.dtype), symbols[:-1]])
 
 
-def _bigrams(heads, classed: np.ndarray, late: bool):
+def _bigrams(heads, classed: np.ndarray, late: bool, beyond: bool = False):
     """Counts of symbol pairs. Words beyond the head (`heads`, of which those in `classed` get
-    classes) have symbols of their own if any of them may get a class, else that of their shape."""
+    classes) have symbols of their own if any of them may get a class (`late`), else that of their
+    shape. Pairs with such a symbol are given if `beyond`, those without if not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(heads.value)
@@ -146,6 +148,9 @@ def _bigrams(heads, classed: np.ndarray, late: bool):
             if late:
                 own = np.where(at < 0, words.hashes.view(np.int64) | _LATE, own)
             symbols, before = _ordered(words, rows.num_rows, own.astype(np.int64), _SPECIAL + _SHAPES)
+            if late:
+                keep = (((before | symbols) & _LATE) != 0) == beyond
+                before, symbols = before[keep], symbols[keep]
             found.append((before, symbols))
             size += len(symbols)
             if size >= _FLUSH:
@@ -198,7 +203,7 @@ def _dealt(segments, late: int, buckets: int):
         seg = mix(near.astype(np.uint64)) % _segments(w, segments.value, late).astype(np.uint64)
         bucket = mix(w.view(np.uint64) * np.uint64(_PAIR) + seg) % np.uint64(buckets)
         # the order within a bucket only helps to compress
-        order = np.argsort((bucket << np.uint64(38)) | ((w.view(np.uint64) & np.uint64((1 << 18) - 1)) << np.uint64(20)) | near.view(np.uint64))
+        order = np.argsort((bucket << np.uint64(38)) | ((w.view(np.uint64) & np.uint64((1 << 17) - 1)) << np.uint64(21)) | near.view(np.uint64))
         bucket, w, near, n = bucket[order].astype(np.int64), w[order], near[order], n[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.append(at[1:], len(bucket))
@@ -286,12 +291,17 @@ def _count_pairs(front, span: int):
     return run
 
 
-def _profiles(row: list[np.ndarray], of: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of both lists, and how often they follow and precede each class."""
+def _profiles(row: list[np.ndarray], of: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of both lists, some at a time, and how often they follow and precede each class."""
     w, near, n, w2, near2, n2 = row
-    words, at = np.unique(np.concatenate([w, w2]), return_inverse=True)
-    c = np.concatenate([of[near], of[near2] + span])
-    return words, np.bincount(at * (2 * span) + c, np.concatenate([n, n2]), minlength=len(words) * 2 * span).reshape(len(words), 2 * span)
+    words = np.union1d(w, w2)
+    for i in range(0, len(words), _WORDS):
+        some = words[i : i + _WORDS]
+        x, y = (slice(np.searchsorted(v, some[0]), np.searchsorted(v, some[-1], "right")) for v in (w, w2))
+        at = np.searchsorted(some, np.concatenate([w[x], w2[y]]))
+        c = np.concatenate([of[near[x]], of[near2[y]] + span])
+        counts = np.bincount(at * (2 * span) + c, np.concatenate([n[x], n2[y]]), minlength=len(some) * 2 * span)
+        yield some, counts.reshape(len(some), 2 * span)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
@@ -305,8 +315,8 @@ def _near_classes(front, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                words, near = _profiles(row, front.value, span)
-                yield _sparse(near, words, ["w", "c", "n"])
+                for words, near in _profiles(row, front.value, span):
+                    yield _sparse(near, words, ["w", "c", "n"])
 
     return run
 
@@ -330,14 +340,14 @@ def _move_whole(front, segments, log_next: np.ndarray, total: np.ndarray, classe
         of, parts = front.value, segments.value
         for batch in batches:
             for row in _rows(batch):
-                words, near = _profiles(row, of, span)
-                move = of[words] < classes
-                words, near = words[move], near[move]
-                whole = parts[words] == 1
-                yield _sparse(near[~whole], words[~whole], ["w", "c", "n"])
-                words = words[whole]
-                c = _move(near[whole], of[words], log_next, total, classes)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c), pa.nulls(len(c), pa.int64())], ["w", "c", "n"])
+                for words, near in _profiles(row, of, span):
+                    move = of[words] < classes
+                    words, near = words[move], near[move]
+                    whole = parts[words] == 1
+                    yield _sparse(near[~whole], words[~whole], ["w", "c", "n"])
+                    words = words[whole]
+                    c = _move(near[whole], of[words], log_next, total, classes)
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c), pa.nulls(len(c), pa.int64())], ["w", "c", "n"])
 
     return run
 
@@ -540,7 +550,7 @@ def class_model_scores(
     0. Other columns are read only by `trains`. Words are compared as 64-bit hashes. Words with
     `least` or more occurrences get classes by exchange; where `clustered` is given, only that
     many of them, the most frequent (at most `head`). The result does not depend on `head`, the
-    number of words that every task holds (at most 2 ** 19).
+    number of words that every task holds (at most 2 ** 20).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
@@ -559,13 +569,17 @@ def class_model_scores(
     late = clustered is None and len(counts) == head and bool(classed.all())  # words beyond the head may get classes
     heads = spark.sparkContext.broadcast(hashes)
 
-    ranks = spark.createDataFrame(pa.table({"word": top["word"], "rank": np.arange(len(counts)), "classed": classed}))
-    named = words.filter("shape >= 0").join(F.broadcast(ranks), "word", "left")
-    beyond = F.col("rank").isNull()
-    named = named.select(
-        "word", "shape", "n", beyond.alias("beyond"),
-        F.coalesce("rank", F.col("word").bitwiseOR(F.lit(_LATE))).alias("symbol"),
-        F.coalesce("classed", F.lit(late) & (F.col("n") >= least)).alias("classed"),
+
+    def among_first(k: int) -> Column:
+        if k <= 0 or not len(counts):
+            return F.lit(False)
+        least_n, last = int(counts[min(k, len(counts)) - 1]), int(hashes.view(np.int64)[min(k, len(counts)) - 1])
+        return (F.col("n") > least_n) | ((F.col("n") == least_n) & (F.col("word") <= last))
+
+    in_head, to_class = among_first(head), among_first(int(classed.sum()))
+    named = words.filter("shape >= 0").select(
+        "word", "shape", "n", (~in_head).alias("beyond"), F.col("word").bitwiseOR(F.lit(_LATE)).alias("symbol"),
+        F.when(in_head, to_class).otherwise(F.lit(late) & (F.col("n") >= least)).alias("classed"),
     )
     mass = np.ones(_SHAPES)
     seen = np.zeros(_SHAPES)
@@ -584,28 +598,27 @@ def class_model_scores(
     late_segments = max(1, int(np.ceil(counts[-1] / _SEGMENT))) if late else 1
     buckets = min(1 << 26, max(32, 2 * int(n) // _BUCKET))
     deal, count = _dealt(segments, late_segments, buckets), _bigrams(heads, classed, late)
+
+    def count_and_deal(batches):
+        yield from deal(count(batches))
+
+    dealt = training.mapInArrow(released(count_and_deal), _NEAR)
     later, late_near, late_words = None, None, 0
     if late:
         others = named.filter("beyond AND classed")
         later = written(others.select("symbol", F.pmod("word", F.lit(classes)).cast("int").alias("c")), "start")
         late_words = later.count()
-        bigrams = training.mapInArrow(released(count), "a bigint, b bigint, n bigint")
+        bigrams = training.mapInArrow(released(_bigrams(heads, classed, late, beyond=True)), "a bigint, b bigint, n bigint")
         bigrams = written(bigrams.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
         final = F.when(F.col("classed"), F.col("symbol")).otherwise(F.col("shape") + F.lit(_SPECIAL)).cast("bigint")
-        told = _told(bigrams, named.filter("beyond").select("symbol", final.alias("final")))
+        told = _told(bigrams, written(named.filter("beyond").select("symbol", final.alias("final")), "symbols"))
         told = written(told.groupBy("a", "b").agg(F.sum("n").alias("n")), "bigrams")
         drop_written(bigrams)
         open_a, open_b = (F.col(x).bitwiseAND(F.lit(_LATE)) != 0 for x in "ab")
         in_front = told.filter(open_a).select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("near"), "n")
         behind = told.filter(open_b).select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("near"), "n")
         late_near = in_front.unionByName(behind)
-        dealt = told.mapInArrow(released(deal), _NEAR)
-    else:
-
-        def count_and_deal(batches):
-            yield from deal(count(batches))
-
-        dealt = training.mapInArrow(released(count_and_deal), _NEAR)
+        dealt = dealt.unionByName(told.mapInArrow(released(deal), _NEAR))
     packed = written(dealt.groupBy("bucket").applyInArrow(released(_merged), _NEAR), "near")
     of = exchange_classes(Near(packed, late_near, segments), front, later, len(ranked) + late_words, classes, rounds)
     drop_written(packed)
