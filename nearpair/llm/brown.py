@@ -36,7 +36,7 @@ from nearpair.llm.memory import released
 from nearpair.llm.tables import drop_written, written
 from nearpair.llm.words import Words, chunks, mix
 
-HEAD = 1 << 20  # most frequent words whose counts every task holds
+HEAD = 1 << 20  # most frequent words (of LEAST or more occurrences) whose counts every task holds
 LEAST = 5  # occurrences from which a word gets a class by exchange
 CLASSES = 64
 ROUNDS = 8
@@ -560,13 +560,11 @@ def class_model_scores(
     ends = words.filter("shape = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not ends:  # the end row of an empty table has no count
         v = words.filter("shape >= 0").count()
-    top = words.filter("shape >= 0").orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = words.filter((F.col("shape") >= 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "word").limit(head).toArrow()
     hashes = top["word"].to_numpy().view(np.uint64)
     counts = top["n"].to_numpy().astype(np.float64)
-    classed = counts >= least
-    if clustered is not None:
-        classed &= np.arange(len(counts)) < clustered
-    late = clustered is None and len(counts) == head and bool(classed.all())  # words beyond the head may get classes
+    classed = np.arange(len(counts)) < (len(counts) if clustered is None else clustered)
+    late = clustered is None and len(counts) == head  # words beyond the head may get classes
     heads = spark.sparkContext.broadcast(hashes)
 
 
