@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 ORDERINGS = ("idf", "alphabetical")
 
+# The most frequent tokens, whose counts go to every task. Of the other tokens none then holds
+# more than 1 / FREQUENT of all occurrences. With at most FREQUENT_BYTES each they are 1 MB.
+FREQUENT = 4_096
+FREQUENT_BYTES = 256
+
 _CODE_HASH_BITS = (1 << 32) - 1
 _CODE_MAX_FREQ = (1 << 31) - 1
 
@@ -30,6 +35,22 @@ def token_rows(bags: DataFrame) -> DataFrame:
     return rows.filter(F.col("token").isNotNull())
 
 
+def with_frequency(rows: DataFrame, freq: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """`rows` with the `freq` of their `token`; rows whose token `freq` lacks (or null) go.
+
+    The `frequent` tokens of highest count are joined by a broadcast of at most that many rows,
+    the others by a shuffle. So a token that holds a third of all occurrences is never a key of
+    the shuffle, and most occurrences of natural text are not shuffled at all. The top is exact:
+    the counts are there, so no sketch has to guess it.
+    """
+    # tied to `freq` so that the counts are filtered, not (counting again) the tokens
+    size = F.when(F.col("freq") > 0, F.octet_length("token"))
+    top = freq.filter(size <= FREQUENT_BYTES).orderBy(F.desc("freq"), "token").limit(frequent)
+    hot = rows.join(F.broadcast(top), "token")
+    rest = rows.join(F.broadcast(top.select("token")), "token", "left_anti").join(freq, "token")
+    return hot.unionByName(rest)
+
+
 def order_tokens(bags: DataFrame, ordering: str = "idf", freq: DataFrame | None = None) -> DataFrame:
     """`id, token, pos, rank`: a record's tokens ranked from 1 in the global order.
 
@@ -39,7 +60,7 @@ def order_tokens(bags: DataFrame, ordering: str = "idf", freq: DataFrame | None
     check_ordering(ordering)
     rows = token_rows(bags)
     if ordering == "idf":
-        rows = rows.join(token_frequency(bags) if freq is None else freq, "token")
+        rows = with_frequency(rows, token_frequency(bags) if freq is None else freq)
         by = ["freq", "token", "pos"]
     else:
         by = ["token", "pos"]
@@ -73,7 +94,7 @@ def ordered_codes(bags: DataFrame, freq: DataFrame) -> DataFrame:
     cheaper than sorting (freq, token) pairs. Two tokens with equal codes count as one token,
     which can only add candidates.
     """
-    rows = bags.select("id", F.explode_outer("tokens").alias("token")).join(freq, "token")
+    rows = with_frequency(bags.select("id", F.explode_outer("tokens").alias("token")), freq)
     capped = F.least(F.col("freq"), F.lit(_CODE_MAX_FREQ))
     code = F.shiftleft(capped, 32) + F.xxhash64("token").bitwiseAND(F.lit(_CODE_HASH_BITS))
     codes = rows.groupBy("id").agg(F.collect_list(code).alias("codes"))
