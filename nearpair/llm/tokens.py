@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearpair.llm.memory import give_back, released
 from nearpair.llm.tables import written
 
 BLOCK = 256  # ids in a block
@@ -287,7 +288,7 @@ def token_segments(
     rows = rows.withColumn("tie", F.xxhash64("text"))
     # tie: rows of one frequent id may lie in several parts
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
-    return rows.select("id", "text").mapInArrow(_segments(path, end_id, by_word), _SEGMENTS)
+    return rows.select("id", "text").mapInArrow(released(_segments(path, end_id, by_word)), _SEGMENTS)
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
@@ -305,6 +306,9 @@ def read_documents(segments: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _ENCODERS:  # of the tasks that wrote; Spark keeps its workers
+            _ENCODERS.clear()
+            give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 ids = Blocks(row["payload"]).read().astype("<u4")
@@ -322,7 +326,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     ["id", "start", "n_tokens", "ids_crc32", "n_bytes"],
                 )
 
-    return with_starts(segments).mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint")
+    return with_starts(segments).mapInArrow(released(run), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint")
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, **options) -> DataFrame:
