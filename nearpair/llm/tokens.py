@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ BLOCK = 256  # ids in a block
 SEGMENT = 1 << 18  # ids in a segment, about; a longer document is a segment of its own
 PERCENTILE = 90
 CACHED = 200_000  # words in each of the two halves of the cache
+TOGETHER = 1 << 22  # bytes of texts whose words are looked up together, about
 _ID = struct.Struct("<I")
 _HEAD = b"PFR1"
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'"
@@ -136,18 +138,35 @@ class Blocks:
 
 class _Cache(dict):
     """Ids of words as bytes. A full young half becomes the old one, and what the old one is
-    asked for comes back, so frequent words stay."""
+    asked for comes back, so frequent words stay. A word that `cut` parts takes a place once its
+    body is known: most others are not seen again."""
 
-    def __init__(self, ask: Callable[[_Cache, str], bytes]) -> None:
-        self.ask, self.old = ask, {}
+    def __init__(self, ask: Callable[[str], bytes], cut: Callable[[str], int] = len) -> None:
+        self.ask, self.cut, self.old = ask, cut, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found = self.ask(self, word)
+        found = self.old.get(word) or self.ask(word)
         self[word] = found
         return found
 
+    def all(self, words: list[str]) -> list[bytes]:
+        found, old = list(map(self.get, words)), self.old
+        for i, word in enumerate(words):
+            if found[i] is not None:
+                continue
+            ids = old.get(word)
+            if ids is None and not word.isalpha() and (at := self.cut(word)) < len(word):
+                body = word[:at]
+                known = body in self or body in old
+                found[i] = self[body] + self[word[at:]]
+                if known:
+                    self[word] = found[i]
+                continue
+            if ids is None:
+                ids = self.ask(word)
+            self[word] = found[i] = ids
+        return found
+
     def trim(self, most: int) -> None:
         if len(self) > most:
             self.old = dict(self)
@@ -172,10 +191,11 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.by_word, self.cached = by_word, cached
         self.special = {x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()}
+        self.packed = [_ID.pack(i) for i in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
         one, other, *probes = self._ids(["aB c,", "ab c,", *_PROBES])
         self.lowers = by_word and one == other
         self.direct = probes == [self._letters(w) for w in _PROBES]
-        self.plain, self.other = _Cache(self._ask_plain), _Cache(lambda _, w: self._ids([w])[0])
+        self.plain, self.other = _Cache(self._ask_plain, _body), _Cache(self._ask)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -184,34 +204,57 @@ class WordEncoder:
     def _letters(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_byte_letters())
-        return _ID.pack(tokens[0].id) if len(tokens := self.model.tokenize(word)) == 1 else struct.pack(f"<{len(tokens)}I", *[x.id for x in tokens])
-
-    def _ask_plain(self, cache: _Cache, word: str) -> bytes:
-        if self.direct and word.isalpha():
-            return self._letters(word)
-        body = word.rstrip(_PUNCTUATION)
-        if len(body) < len(word) and body.isalpha():
-            return cache[body] + cache[word[len(body) :]]
+        packed = self.packed
+        return b"".join([packed[x.id] for x in self.model.tokenize(word)])
+
+    def _ask(self, word: str) -> bytes:
         return self._ids([word])[0]
 
+    def _ask_plain(self, word: str) -> bytes:
+        return self._letters(word) if self.direct and word.isalpha() else self._ids([word])[0]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return self._ids(texts)
-        out = []
-        for text in texts:
-            plain = self.lowers and _latin(text) and not any(x in text for x in self.special)
-            cache = self.plain if plain else self.other
-            words = (text.lower() if plain else text).replace("\n", " ").split(" ")
-            out.append(b"".join(map(cache.__getitem__, words)))
-            cache.trim(self.cached)
-        return out
+        plain = [self.lowers and _latin(t) and not any(x in t for x in self.special) for t in texts]
+        found = {
+            True: iter(self._words([t.lower() for t, p in zip(texts, plain) if p], self.plain)),
+            False: iter(self._words([t for t, p in zip(texts, plain) if not p], self.other)),
+        }
+        return [next(found[p]) for p in plain]
+
+    def _words(self, texts: list[str], cache: _Cache) -> list[bytes]:
+        """The cache is asked for each different word of the texts once."""
+        if not texts:
+            return []
+        rows = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        words = rows.flatten().dictionary_encode()
+        # to_pylist would make a scalar of each word first
+        found = cache.all(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        cache.trim(self.cached)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = words.indices.to_numpy()
+        n, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[rows.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 #: Words on which the short way to the model is compared with the whole tokenizer.
 _PROBES = ["a", "word", "letters", "straße", "élève", "mañana", "über", "ñ"]
 
 
+def _body(word: str) -> int:
+    """Characters of a word without its trailing punctuation, if that leaves letters only; else all."""
+    if word.isalpha():
+        return len(word)
+    body = word.rstrip(_PUNCTUATION)
+    return len(body) if body.isalpha() else len(word)
+
+
 @cache
 def _byte_letters() -> dict[int, int]:
     """The character that stands for each byte in byte-level vocabularies: itself if it can be
@@ -257,9 +300,11 @@ def _segments(path: str, end_id: int, by_word: bool):
 
         for batch in batches:
             docs, texts = batch.column("id").to_pylist(), batch.column("text")
-            for low in range(0, len(docs), 64):
-                some = [x or "" for x in texts.slice(low, 64).to_pylist()]
-                for doc, found in zip(docs[low : low + 64], encoder.encode(some)):
+            read = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lows = [0, *(np.flatnonzero(np.diff(read // TOGETHER)) + 1).tolist(), len(docs)]
+            for low, high in zip(lows, lows[1:]):
+                some = [x or "" for x in texts.slice(low, high - low).to_pylist()]
+                for doc, found in zip(docs[low:high], encoder.encode(some)):
                     ids.append(doc)
                     raw.append(found + end)
                     size += len(found) // 4 + 1
