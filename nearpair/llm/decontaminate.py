@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearpair.llm.brown import Lookup
+from nearpair.llm.memory import released
 from nearpair.llm.tables import column, without, written
 from nearpair.llm.words import LETTERS, chunks, text_buffer, words_of
 
@@ -191,7 +192,7 @@ def _normal(encoded: DataFrame, items: Items, weights: np.ndarray, basis: np.nda
     """A'(A basis), the corpus' part by Spark."""
     shared = encoded.sparkSession.sparkContext.broadcast((weights, basis.astype(np.float32)))
     tasks = encoded.rdd.getNumPartitions()
-    parts = encoded.select("id", "place", "term").mapInArrow(_products(shared), _PART)
+    parts = encoded.select("id", "place", "term").mapInArrow(released(_products(shared)), _PART)
     while tasks > 1:  # a tree: no group sums more than FAN parts
         tasks = -(-tasks // FAN)
         parts = parts.withColumn("part", F.expr(f"part div {FAN}")).groupBy("slice", "part").applyInArrow(_summed, _PART)
@@ -360,15 +361,15 @@ def _found_in_block(rows: DataFrame, items: DataFrame, block: int, blocks: int,
     if not known.ids:
         return spark.createDataFrame([], _FOUND)
     terms = spark.sparkContext.broadcast(known.terms)
-    encoded = written(rows.mapInArrow(_encode(terms), "id bigint, place binary, term binary"), "encoded")
-    counts = encoded.mapInArrow(_frequencies(len(known.terms)), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()
+    encoded = written(rows.mapInArrow(released(_encode(terms)), "id bigint, place binary, term binary"), "encoded")
+    counts = encoded.mapInArrow(released(_frequencies(len(known.terms))), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect()
     df = np.zeros(len(known.terms) + 1, np.int64)
     for term, n in counts:
         df[term] = n
     weights = term_weights(known, df[:-1], int(df[-1]))
     basis = latent_space(encoded, known, weights, rank)
     shared = spark.sparkContext.broadcast((known, weights, basis))
-    return written(encoded.mapInArrow(_search(shared, limits, cosine), _FOUND), "found")
+    return written(encoded.mapInArrow(released(_search(shared, limits, cosine)), _FOUND), "found")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
